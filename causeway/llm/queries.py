@@ -4,13 +4,24 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import substring
+from . import containment, iblt, language, packing, quality, substring, tokens, urls
 from .frames import read
 
 
+def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def fold(n: int, id_col: str = "doc_id") -> Column:
+    """crc32 of the id as text, modulo n."""
+    return F.crc32(F.col(id_col).cast("string").cast("binary")) % n
+
+
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = substring.dedup_substrings(read(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept"), 256).alias("kept_sha256"))
@@ -31,9 +42,91 @@ from w left join kept using (doc_id)
 """
 
 
+def op3_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return iblt.fingerprint_edits(read(spark, sf_dir, "documents"))
+
+
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.fit(quality.training_rows(docs, read(spark, sf_dir, "labels"), fold(5) != 0, "doc_id", "text", "quality"))
+    out = quality.score(docs, model)
+    return out.select("doc_id", (fold(5) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    out = containment.contamination(docs, read(spark, sf_dir, "benchmark"))
+    return out.select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), "contaminated"
+    )
+
+
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+SQL_OP5 = rf"""
+with i as (select cast(item_id as varchar) as item, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as ws from benchmark),
+iw as (select item, ws, least(13, len(ws)) as n, unnest(range(1, greatest(len(ws) - 12, 1) + 1)) as p from i where len(ws) > 0),
+win as (select distinct item, n, array_to_string(ws[p:p+n-1], ' ') as w from iw),
+lens as (select distinct n from win),
+d as (select doc_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as ws from documents),
+dp as (select doc_id, ws, n, unnest(range(1, len(ws) - n + 2)) as p from d, lens where len(ws) >= n),
+hit as (select dp.doc_id, dp.p, dp.n, win.item from dp join win on dp.n = win.n and array_to_string(ws[p:p+dp.n-1], ' ') = win.w),
+pos as (select count(distinct p + o) as n_hit, doc_id from hit, (select unnest(range(0, 13)) as o) where o < n group by doc_id),
+items as (select doc_id, count(distinct item) as n_items, string_agg(distinct item, ',' order by item) as s from hit group by doc_id)
+select d.doc_id, cast(len(ws) as bigint) as n_words, cast(coalesce(n_hit, 0) as bigint) as n_hit, cast(coalesce(n_items, 0) as bigint) as n_items,
+       sha256(coalesce(s, '')) as items_sha256, coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(ws) as contaminated
+from d left join pos using (doc_id) left join items using (doc_id)
+"""
+
+
+def op6_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files, dictionary = tokens.write_tokens(read(spark, sf_dir, "documents"), tokenizer_path(), end_id=2)
+    return tokens.read_tokens(files, dictionary, with_ids=False)
+
+
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(read(spark, sf_dir, "documents"), tokenizer_path(), end_id=1, with_ids=False)
+
+
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    model = language.fit(docs.where(fold(3) != 1).select(F.col("doc_id").alias("id"), "text", "lang"))
+    out = language.identify(docs.select("doc_id", "text"), model)
+    return out.select("doc_id", (fold(3) == 1).alias("held_out"), "lang_pred", "score", "rejected")
+
+
+def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(read(spark, sf_dir, "pages").select("page_id", "url")).select("page_id", "host", "path", "rule", "verdict", "pattern")
+
+
+def _sql_op10() -> str:
+    """Longest prefix rule first, else the pattern rules in order, all tried on every URL."""
+    rules = sorted(urls.PREFIXES, key=lambda p: -len(p.rule))
+    parts = [(p, *p.rule.partition("/")) for p in rules]
+    fits = [(p, f"(host = '{h}' or ends_with(host, '.{h}')) and starts_with(path, '/{rest}')") for p, h, _, rest in parts]
+    rule = "case " + " ".join(f"when {c} then '{p.rule}'" for p, c in fits) + " end"
+    verdict = "case " + " ".join(f"when {c} then '{p.verdict}'" for p, c in fits)
+    verdict += "".join(f" when (host != '' or path != '') and regexp_matches(lower(url), '{p.regex}') then '{p.verdict}'" for p in urls.PATTERNS) + " else 'allow' end"
+    pattern = "case when " + rule + " is not null then null " + " ".join(f"when (host != '' or path != '') and regexp_matches(lower(url), '{p.regex}') then '{p.name}'" for p in urls.PATTERNS) + " end"
+    return f"""
+with a as (select page_id, url, case when contains(url, '://') then regexp_replace(substr(url, instr(url, '://') + 3), '[?#].*', '', 's') else '' end as rest from pages),
+b as (select page_id, url, translate(split_part(rest, '/', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
+      case when contains(rest, '/') then substr(rest, instr(rest, '/')) else '' end as path from a)
+select page_id, host, path, {rule} as rule, {verdict} as verdict, {pattern} as pattern from b
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_substring_dedup": op1_substring_dedup}
+    return {
+        "op1_substring_dedup": op1_substring_dedup,
+        "op3_document_fingerprints": op3_document_fingerprints,
+        "op4_quality_classifier": op4_quality_classifier,
+        "op5_benchmark_decontamination": op5_benchmark_decontamination,
+        "op6_token_output": op6_token_output,
+        "op7_packing": op7_packing,
+        "op9_language_id": op9_language_id,
+        "op10_url_filters": op10_url_filters,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_substring_dedup": SQL_OP1}
+    return {"op1_substring_dedup": SQL_OP1, "op5_benchmark_decontamination": SQL_OP5, "op10_url_filters": _sql_op10()}
