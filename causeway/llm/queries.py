@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import containment, iblt, language, packing, quality, substring, tokens, urls
+from . import containment, iblt, language, packing, pii, quality, substring, tokens, urls
 from .frames import read
 
 
@@ -42,6 +42,13 @@ from w left join kept using (doc_id)
 """
 
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    found = pii.find(docs, pii.fit(docs))
+    counts = [F.size(F.filter("base", lambda x, k=k: x["kind"] == k)).cast("long").alias(f"n_{k}") for k in pii.KINDS]
+    return found.select("doc_id", *counts, F.sha2(pii.listed(F.col("base")), 256).alias("base_sha256"), pii.listed(F.concat("base", "added")).alias("spans"))
+
+
 def op3_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return iblt.fingerprint_edits(read(spark, sf_dir, "documents"))
 
@@ -118,6 +125,7 @@ select page_id, host, path, {rule} as rule, {verdict} as verdict, {pattern} as p
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_substring_dedup": op1_substring_dedup,
+        "op2_pii": op2_pii,
         "op3_document_fingerprints": op3_document_fingerprints,
         "op4_quality_classifier": op4_quality_classifier,
         "op5_benchmark_decontamination": op5_benchmark_decontamination,
