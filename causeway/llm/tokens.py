@@ -24,6 +24,7 @@ import os
 import uuid
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -35,8 +36,8 @@ from . import text as X
 from .frames import shared_dir
 
 U = np.uint64
-#: Pieces that a worker keeps between batches, about 40 bytes each.
-CACHE = 1_500_000
+#: Pieces that a worker keeps between batches, about 40 bytes each, and bits of the number of slots they hash to.
+CACHE, SLOTS = 1_500_000, 22
 #: Documents and bytes of ids that the dictionary is trained on, at most, and its size.
 SAMPLE_DOCS, SAMPLE_BYTES, DICTIONARY = 2_000, 8 << 20, 64 << 10
 
@@ -64,26 +65,61 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.size = self.tokenizer.get_vocab_size()
         self.added = [str(x.content) for x in self.tokenizer.get_added_tokens_decoder().values()]
-        self.keys, self.at, self.n, self.ids = np.zeros(0, U), np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int32)
+        self._empty()
+
+    def _empty(self) -> None:
+        # pieces by number: where their ids begin, how many; two tables of slots lead to the numbers, the rest is sorted
+        self.at, self.n, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int32)
+        self.slot_key, self.slot_of = np.zeros(1 << SLOTS, U), np.full(1 << SLOTS, -1, np.int32)
+        self.more, self.more_of = np.zeros(0, U), np.zeros(0, np.int32)
 
     def _plain(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Numbers of ids, and the ids end to end."""
         got = [x.ids for x in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
         n = np.fromiter(map(len, got), np.int32, len(got))
-        return n, np.concatenate([np.asarray(x, np.int32) for x in got]) if len(got) < 64 else np.fromiter((i for x in got for i in x), np.int32, int(n.sum()))
+        return n, np.fromiter(chain.from_iterable(got), np.int32, int(n.sum()))
 
     def _learn(self, keys: np.ndarray, pieces: list[str]) -> None:
+        """Keep pieces under their different keys."""
         n, ids = self._plain(pieces)
-        if len(self.keys) + len(keys) > CACHE:
-            self.keys, self.at, self.n, self.ids = np.zeros(0, U), np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int32)
-        at = np.cumsum(n, dtype=np.int64) - n + len(self.ids)
-        place = np.searchsorted(self.keys, keys)  # keys are sorted
-        self.keys, self.at, self.n = (np.insert(old, place, new) for old, new in ((self.keys, keys), (self.at, at), (self.n, n)))
-        self.ids = np.concatenate([self.ids, ids])
-
-    def _find(self, u: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        i = np.minimum(np.searchsorted(self.keys, u), max(0, len(self.keys) - 1))
-        return i, self.keys[i] == u if len(self.keys) else np.zeros(len(u), bool)
+        if len(self.n) + len(keys) > CACHE:
+            self._empty()
+        number = np.arange(len(self.n), len(self.n) + len(keys), dtype=np.int32)
+        self.at = np.concatenate([self.at, np.cumsum(n, dtype=np.int64) - n + len(self.ids)])
+        self.n, self.ids = np.concatenate([self.n, n]), np.concatenate([self.ids, ids])
+        for choice in (0, 1):
+            slot = self._slot(keys, choice)
+            free = np.flatnonzero(self.slot_of[slot] < 0)
+            _, first = np.unique(slot[free], return_index=True)
+            put = free[first]
+            self.slot_key[slot[put]], self.slot_of[slot[put]] = keys[put], number[put]
+            left = np.ones(len(keys), bool)
+            left[put] = False
+            keys, number = keys[left], number[left]
+            if not len(keys):
+                return
+        order = np.argsort(keys)
+        place = np.searchsorted(self.more, keys[order])
+        self.more, self.more_of = np.insert(self.more, place, keys[order]), np.insert(self.more_of, place, number[order])
+
+    @staticmethod
+    def _slot(keys: np.ndarray, choice: int) -> np.ndarray:
+        return (keys & U((1 << SLOTS) - 1) if choice else keys >> U(64 - SLOTS)).astype(np.int64)
+
+    def _find(self, keys: np.ndarray) -> np.ndarray:
+        """Numbers of pieces, -1 for those not kept."""
+        slot = self._slot(keys, 0)
+        out = np.where(self.slot_key[slot] == keys, self.slot_of[slot], np.int32(-1))
+        left = np.flatnonzero(out < 0)
+        if len(left):
+            own = keys[left]
+            slot = self._slot(own, 1)
+            out[left] = np.where(self.slot_key[slot] == own, self.slot_of[slot], np.int32(-1))
+            left = left[out[left] < 0]
+            if len(left) and len(self.more):
+                i = np.minimum(np.searchsorted(self.more, keys[left]), len(self.more) - 1)
+                out[left] = np.where(self.more[i] == keys[left], self.more_of[i], np.int32(-1))
+        return out
 
     def _whole(self, data: np.ndarray, offs: np.ndarray) -> np.ndarray:
         """Texts for which the cuts aren't certain."""
@@ -96,7 +132,7 @@ class Encoder:
 
     def encode(self, texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """(first row, numbers of ids, ids end to end) for runs of the texts."""
-        for lo, hi in X.slices(texts, 4 << 20):
+        for lo, hi in X.slices(texts):
             own = texts[lo:hi]
             data, offs = X.raw(own)
             whole = self._whole(data, offs)
@@ -116,21 +152,22 @@ class Encoder:
             for r in np.flatnonzero(whole):
                 lone[held[r] : held[r + 1]] = True
             h = X.word_hashes(data, start, end)
-            n, at = np.zeros(len(start), np.int64), np.zeros(len(start), np.int64)
             raw = data.tobytes()
-            few = np.flatnonzero(~lone)
-            u, first, back = np.unique(h[few], return_index=True, return_inverse=True)
-            i, there = self._find(u)
-            if not there.all():
-                miss = few[first[~there]]
-                self._learn(u[~there], [raw[start[k] : end[k]].decode() for k in miss])
-                i, there = self._find(u)
-                if not there.all():  # the cache was emptied
-                    miss = few[first[~there]]
-                    self._learn(u[~there], [raw[start[k] : end[k]].decode() for k in miss])
-                    i, _ = self._find(u)
-            if len(u):
-                n[few], at[few] = self.n[i][back], self.at[i][back]
+            number = self._find(h)
+            number[lone] = 0
+            miss = np.flatnonzero(number < 0)
+            if len(miss):
+                u, first = np.unique(h[miss], return_index=True)
+                before = len(self.n)
+                self._learn(u, [raw[start[k] : end[k]].decode() for k in miss[first].tolist()])
+                if len(self.n) < before + len(u):  # the cache was emptied
+                    few = np.flatnonzero(~lone)
+                    u, first = np.unique(h[few], return_index=True)
+                    self._empty()
+                    self._learn(u, [raw[start[k] : end[k]].decode() for k in few[first].tolist()])
+                number = self._find(h)
+                number[lone] = 0
+            n, at = (self.n[number].astype(np.int64), self.at[number]) if len(self.n) else (np.zeros(len(start), np.int64), np.zeros(len(start), np.int64))
             ids = self.ids
             if lone.any():
                 own_n, own_ids = self._plain([raw[start[k] : end[k]].decode() for k in np.flatnonzero(lone)])
