@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import containment, iblt, language, packing, pii, quality, substring, tokens, urls
+from . import containment, iblt, jaccard, language, packing, pii, quality, substring, tokens, urls
 from .frames import read
 
 
@@ -94,6 +94,25 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"), tokenizer_path(), end_id=1, with_ids=False)
 
 
+def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.components(read(spark, sf_dir, "documents"))
+
+
+SQL_OP8 = rf"""
+with w as (select doc_id, regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+') as ws from documents),
+s as (select doc_id, case when len(ws) = 0 then [] when len(ws) < 3 then [array_to_string(ws, ' ')]
+             else list_distinct(list_transform(range(1, len(ws) - 1), lambda p: array_to_string(ws[p:p+2], ' '))) end as g from w),
+n as (select doc_id, len(g) as n from s),
+t as (select doc_id, unnest(g) as g from s),
+c as (select g, count(*) as df from t group by g having count(*) > 1),
+p as (select a.doc_id as x, b.doc_id as y, count(*) as i from t a join c using (g) join t b using (g) where a.doc_id < b.doc_id group by 1, 2),
+l as (select x, y from p join n a on a.doc_id = x join n b on b.doc_id = y where 100 * i >= 90 * (a.n + b.n - i)),
+e as (select x, y from l union all select y, x from l),
+r as (with recursive walk(x, y) as (select x, y from e union select walk.x, e.y from walk join e on walk.y = e.x) select x, min(y) as m from walk group by x)
+select n.doc_id, cast(n.n as bigint) as n_shingles, least(n.doc_id, coalesce(m, n.doc_id)) as component_id from n left join r on r.x = n.doc_id
+"""
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     model = language.fit(docs.where(fold(3) != 1).select(F.col("doc_id").alias("id"), "text", "lang"))
@@ -131,10 +150,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_benchmark_decontamination": op5_benchmark_decontamination,
         "op6_token_output": op6_token_output,
         "op7_packing": op7_packing,
+        "op8_ngram_jaccard_join": op8_ngram_jaccard_join,
         "op9_language_id": op9_language_id,
         "op10_url_filters": op10_url_filters,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_substring_dedup": SQL_OP1, "op5_benchmark_decontamination": SQL_OP5, "op10_url_filters": _sql_op10()}
+    return {"op1_substring_dedup": SQL_OP1, "op5_benchmark_decontamination": SQL_OP5, "op8_ngram_jaccard_join": SQL_OP8, "op10_url_filters": _sql_op10()}
