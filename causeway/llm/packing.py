@@ -25,7 +25,7 @@ from . import text as X
 from .tokens import Encoder, crc, with_end
 
 #: Windows partitioned at once.
-GROUP = 192
+GROUP = 256
 
 
 def differencing(sizes: list[int], k: int) -> list[list[int]]:
@@ -75,7 +75,7 @@ def fit(sizes: list[int], window: int) -> list[list[int]]:
 
 
 def pack(
-    docs: DataFrame, path: str, end_id: int, window: int = 2048, piece: int = 384, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True
+    docs: DataFrame, path: str, end_id: int, window: int = 2048, piece: int = 256, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True
 ) -> DataFrame:
     """One row per piece: id_col, start, length, ids_crc32, doc_tokens, sequence_id, offset and, if asked for, ids."""
     kind = docs.schema[id_col].dataType.simpleString()
