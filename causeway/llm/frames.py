@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -41,3 +41,15 @@ def text_bytes(docs: DataFrame, text: str = "text") -> int:
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def sampled(df: DataFrame, by: Column, n: int) -> DataFrame:
+    """At most n rows of df, those with the smallest hashes of `by`: the same whatever the partitions.
+
+    The bound is found from hashes alone; only rows under it are read in full.
+    """
+    h = F.xxhash64(by)
+    most = df.select(h.alias("h")).orderBy("h").limit(n).agg(F.max("h").alias("h")).first()["h"]
+    if most is None:
+        return df.limit(0)
+    return df.where(h <= most).orderBy(h).limit(n)

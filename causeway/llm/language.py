@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import text as X
+from .frames import sampled
 
 DIMS, CENTROIDS, ROUNDS = 4096, 4, 8
 #: Rows of each language that its centroids are fitted on, at most, and languages.
@@ -121,7 +122,7 @@ def fit(rows: DataFrame) -> Model:
         raise ValueError(f"more than {MOST_LANGUAGES} languages: raise the bound knowingly, the centroids are broadcast")
     idf32 = idf.astype(np.float32)
 
-    def sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def weighted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = X.texts_of(batch["text"])
             for lo, hi in _pieces(texts):
@@ -130,8 +131,8 @@ def fit(rows: DataFrame) -> Model:
 
     centroids, owner, least = [], [], []
     for j, lang in enumerate(langs):
-        picked = rows.where(F.col("lang") == lang).select("text", F.xxhash64("id", "text").alias("h")).orderBy("h").limit(SAMPLE).select("text")
-        v = np.stack([np.frombuffer(r["v"], np.float16) for r in picked.mapInArrow(sampled, "v binary").collect()]).astype(np.float32)
+        picked = sampled(rows.where(F.col("lang") == lang), F.col("id"), SAMPLE).select("text")
+        v = np.stack([np.frombuffer(r["v"], np.float16) for r in picked.mapInArrow(weighted, "v binary").collect()]).astype(np.float32)
         c = kmeans(v, CENTROIDS)
         centroids.append(c)
         owner += [j] * len(c)

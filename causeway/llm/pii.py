@@ -296,17 +296,16 @@ def listed(spans_of: Column) -> Column:
 
 def redact(docs: DataFrame, models: dict[str, Model], text_col: str = "text") -> DataFrame:
     """docs with every span replaced by <kind>; overlapping spans become one, named by the first."""
-    names = docs.columns
-    found = find(docs, models, text_col)
+    src = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(text_col).alias("t"))
+    found = find(src, models, "t")
     merged = F.expr(
         "aggregate(array_sort(transform(concat(base, added), x -> struct(x.s as s, x.e as e, x.kind as kind))), cast(array() as array<struct<s:int,e:int,kind:string>>), (acc, x) -> "
         "if(size(acc) > 0 and element_at(acc, -1).e > x.s, concat(slice(acc, 1, size(acc) - 1), array(named_struct('s', element_at(acc, -1).s, 'e', greatest(element_at(acc, -1).e, x.e), 'kind', element_at(acc, -1).kind))), "
         "concat(acc, array(x))))"
     )
-    out = found.withColumn("cw_m", F.when(F.size("base") + F.size("added") > 0, merged))
-    t = f"`{text_col}`"
-    text = F.expr(
-        f"if(cw_m is null, {t}, concat(array_join(transform(cw_m, (x, i) -> concat(substring({t}, if(i = 0, 0, cw_m[i - 1].e) + 1, x.s - if(i = 0, 0, cw_m[i - 1].e)), '<', x.kind, '>')), ''), "
-        f"substring({t}, element_at(cw_m, -1).e + 1)))"
+    out = found.withColumn("m", F.when(F.size("base") + F.size("added") > 0, merged))
+    new = F.expr(
+        "if(m is null, t, concat(array_join(transform(m, (x, i) -> concat(substring(t, if(i = 0, 0, m[i - 1].e) + 1, x.s - if(i = 0, 0, m[i - 1].e)), '<', x.kind, '>')), ''), "
+        "substring(t, element_at(m, -1).e + 1)))"
     )
-    return out.withColumn(text_col, text).select(*names)
+    return out.select(*[new.alias(c) if c == text_col else F.col(f"row.`{c}`").alias(c) for c in docs.columns])

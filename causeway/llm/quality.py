@@ -2,9 +2,8 @@
 
 Features are indicators of hashed byte n-grams (three bytes, lower-cased and as written, digits as one digit) of the
 whole text. Their class log-count ratios come from all labelled training rows; a linear hinge-loss model on the scaled,
-length-normalised indicators is then fitted by dual coordinate descent on a bounded sample of labelled rows, mixed with
-the ratios' own mean weight as usual, and its margin becomes a probability by logistic regression on rows that the fit
-didn't see.
+length-normalised indicators is then fitted by dual coordinate descent on a bounded sample of labelled rows, and its
+margin becomes a probability by logistic regression on rows that the fit didn't see.
 
 Everything but that sample covers all data. Counts are summed as blocks of the feature table; the model has a fixed size
 of 2**BITS floats, which bounds what is broadcast.
@@ -26,6 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import text as X
+from .frames import sampled
 
 U = np.uint64
 BITS = 17
@@ -168,10 +168,9 @@ def fit(rows: DataFrame) -> Model:
     # smoothed shares of each class's documents that have the feature
     ratio = np.log((counts[1] + 1) / (n[1] + 2)) - np.log((counts[0] + 1) / (n[0] + 2))
     # both classes are sampled, by the hash of the id
-    at = F.xxhash64("id")
-    picked = [rows.where(F.col("y") == k).select("text", "y", at.alias("h")).orderBy("h", "text").limit(SAMPLE // 2) for k in (0, 1)]
+    picked = [sampled(rows.where(F.col("y") == k), F.col("id"), SAMPLE // 2).select("text", "y", F.xxhash64("id").alias("h")) for k in (0, 1)]
 
-    def sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def indicators(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = X.texts_of(batch["text"])
             for lo, hi in X.slices(texts):
@@ -181,7 +180,7 @@ def fit(rows: DataFrame) -> Model:
 
     got = []
     for p in picked:
-        got += p.mapInArrow(sampled, "f binary, y int, h long").collect()  # at most SAMPLE rows
+        got += p.mapInArrow(indicators, "f binary, y int, h long").collect()  # at most SAMPLE rows
     got.sort(key=lambda r: (r["h"], r["y"], bytes(r["f"])))
     feats, y = [np.frombuffer(r["f"], "<u4").astype(np.int64) for r in got], np.array([2 * r["y"] - 1 for r in got])
     step = round(1 / CALIBRATE)

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import text as X
-from .frames import shared_dir
+from .frames import sampled, shared_dir
 
 U = np.uint64
 #: Pieces that a worker keeps between batches, about 40 bytes each, and bits of the number of slots they hash to.
@@ -222,11 +222,11 @@ class TokenFile:
         return np.frombuffer(body, "<u2" if len(body) == 2 * n else "<u4").astype(np.uint32)
 
 
-def _train(docs: DataFrame, text_col: str, path: str) -> bytes:
-    """A dictionary from the ids of the SAMPLE_DOCS documents with the smallest hash of their text."""
-    rows = docs.select(F.col(text_col).alias("text")).where(F.length("text") > 0).select("text", F.xxhash64("text").alias("h")).orderBy("h").limit(SAMPLE_DOCS).select("text")
+def _train(docs: DataFrame, id_col: str, text_col: str, path: str) -> bytes:
+    """A dictionary from the ids of SAMPLE_DOCS documents at most, chosen by the hash of their id."""
+    rows = sampled(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), F.col("id"), SAMPLE_DOCS).select("text")
 
-    def samples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, room = Encoder(path), SAMPLE_BYTES
         kind = "<u2" if enc.size <= 1 << 16 else "<u4"
         for batch in batches:
@@ -237,7 +237,7 @@ def _train(docs: DataFrame, text_col: str, path: str) -> bytes:
                         room -= len(blob)
                         yield pa.RecordBatch.from_pydict({"ids": pa.array([blob], pa.binary())})
 
-    found = [bytes(r["ids"]) for r in rows.coalesce(1).mapInArrow(samples, "ids binary").collect()]
+    found = [bytes(r["ids"]) for r in rows.coalesce(1).mapInArrow(encoded, "ids binary").collect()]
     try:
         return zstandard.train_dictionary(DICTIONARY, found).as_bytes() if len(found) >= 16 else b""
     except zstandard.ZstdError:  # too little to train on
@@ -250,7 +250,7 @@ def write_tokens(docs: DataFrame, path: str, end_id: int, id_col: str = "doc_id"
     Ids are made where the rows lie and shuffled compressed; the files are range-partitioned by id.
     """
     spark = docs.sparkSession
-    dictionary = _train(docs, text_col, path)
+    dictionary = _train(docs, id_col, text_col, path)
     held = spark.sparkContext.broadcast(dictionary)
     folder = f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}"
     folder = folder if "://" in folder or not folder.startswith("file:") else "file://" + folder.removeprefix("file:")
