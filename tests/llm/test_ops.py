@@ -375,3 +375,16 @@ def test_urls(spark):
         plain = next((p for p in urls.PATTERNS if re.search(p.regex, u.lower())), None)
         assert rules.pattern(u) == plain
     assert urls.judge(df.limit(0)).count() == 0
+
+
+def test_pii_query_columns(spark, tmp_path):
+    from causeway.llm.queries import op2_pii
+
+    texts = private_texts()[:300] + ["a@b.co 4111 1111 1111 1111 +1 (555) 555-5010 1.2.3.4", None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    for r in op2_pii(spark, str(tmp_path)).collect():
+        want = base_spans(texts[r["doc_id"]] or "")
+        assert [r[f"n_{k}"] for k in BASE] == [sum(s[0] == k for s in want) for k in BASE]
+        listed = [":".join(map(str, s)) for s in want]
+        assert r["base_sha256"] == hashlib.sha256(",".join(listed).encode()).hexdigest()
+        assert set(listed) <= set(filter(None, r["spans"].split(",")))
