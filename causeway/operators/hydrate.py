@@ -82,7 +82,7 @@ def to_json(ops: DataFrame, clock: DataFrame | None = None) -> DataFrame:
     deepest = depth.agg(F.max("depth").alias("d")).first()["d"] or 0
     done = None
     for level in range(deepest, -1, -1):
-        own = depth.where(F.col("depth") == level).join(made, ["doc", "id_ctr"]).where(depth["id_actor"].eqNullSafe(made["id_actor"])).select("doc", "id_ctr", made["id_actor"].alias("id_actor"), "kind")
+        own = depth.where(F.col("depth") == level).alias("p").join(made.alias("q"), [F.col("p.doc") == F.col("q.doc"), F.col("p.id_ctr") == F.col("q.id_ctr"), F.col("p.id_actor").eqNullSafe(F.col("q.id_actor"))]).select("q.doc", "q.id_ctr", "q.id_actor", "q.kind")
         r = own.alias("o").join(rows.alias("r"), [F.col("o.doc") == F.col("r.doc"), F.col("o.id_ctr") == F.col("r.obj_ctr"), F.col("o.id_actor").eqNullSafe(F.col("r.obj_actor"))], "left")
         r = r.select("o.*", "k", "pos", F.col("r.ctr").alias("ctr"), F.col("r.actor").alias("actor"), "action", F.col("r.json").alias("json"), "s")
         if done is not None:
@@ -109,9 +109,10 @@ def from_json(docs: DataFrame, actor: bytes, json_col: str = "json") -> DataFram
     out = None
     for _ in range(MOST_DEPTH):
         front.createOrReplaceTempView("cw_front")
-        kids = front.sparkSession.sql("select doc, obj_n, obj_kind, e.pos, e.key, e.value as v from cw_front, lateral variant_explode(v) e")
+        kids = cut(front.sparkSession.sql("select doc, obj_n, obj_kind, e.pos, e.key, e.value as v from cw_front, lateral variant_explode(v) e"))
         kind = F.schema_of_variant("v")
-        kids = kids.withColumn("t", kind).join(base, "doc")
+        here = base.select(F.col("doc").alias("b_doc"), "at")
+        kids = kids.withColumn("t", kind).join(here, F.col("doc") == F.col("b_doc")).drop("b_doc")
         kids = cut(kids.withColumn("ctr", F.col("at") + F.row_number().over(Window.partitionBy("doc").orderBy("obj_n", "pos"))))
         if kids.isEmpty():
             break

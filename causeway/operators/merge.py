@@ -32,10 +32,15 @@ def checked(changes: DataFrame) -> DataFrame:
 
 
 def apply_changes(mine: DataFrame, theirs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(applied, queued): all changes once, split by whether every ancestor is there. Applying again changes nothing."""
-    every = cut(mine.unionByName(added(mine, theirs).dropDuplicates(["doc", "hash"])))
-    ready = levels(every)
-    return every.join(ready.select("doc", "hash"), ["doc", "hash"], "left_semi"), every.join(ready, ["doc", "hash"], "left_anti")
+    """(applied, queued): all changes once, split by whether every ancestor is there. Applying again changes nothing.
+
+    What waits is what depends, however far, on a change with a missing dependency; nothing else is walked.
+    """
+    every = cut(mine.unionByName(added(mine, theirs)).dropDuplicates(["doc", "hash"]))
+    known = every.select("doc", F.col("hash").alias("dep"))
+    stuck = edges(every).join(known, ["doc", "dep"], "left_anti").select("doc", "hash")
+    waiting = closure(stuck, edges(every).select("doc", F.col("dep").alias("hash"), F.col("hash").alias("next")))
+    return every.join(waiting, ["doc", "hash"], "left_anti"), every.join(waiting, ["doc", "hash"], "left_semi")
 
 
 def release_order(changes: DataFrame) -> DataFrame:

@@ -411,7 +411,7 @@ def text_graphemes(spark, sf_dir):
 
 @query(
     w(S.SQL_LISTS)
-    + """, up as (with recursive walk as (select doc, n, n as at from tree where n % 4 in (0, 1) union all select w.doc, w.n, t.up from walk w join tree t on t.doc = w.doc and t.n = w.at where w.at % 5 = 0 and t.up > 0) select doc, n, min(at) as at, min(at) filter (at % 5 <> 0) as found from walk group by doc, n)
+    + """, up as (with recursive walk as (select doc, n, n as cur from tree where n % 4 in (0, 1) union all select w.doc, w.n, t.up from walk w join tree t on t.doc = w.doc and t.n = w.cur where w.cur % 5 = 0 and t.up > 0) select doc, n, min(cur) filter (cur % 5 <> 0) as found from walk group by doc, n)
     select p.doc, p.n, 'after' as move, (select count(*) from shown s where s.doc = p.doc and s.pos < p.pos) as position from pos p where p.n % 4 = 2
     union all select u.doc, u.n, 'before', coalesce((select count(*) from shown s join pos q on q.doc = s.doc and q.n = u.found where s.doc = u.doc and s.pos < q.pos), 0) from up u where u.n % 4 = 0"""
 )
@@ -445,8 +445,8 @@ def id_codec(spark, sf_dir):
 
 @query(
     w(S.SQL_TEXTS)
-    + """ select m.doc, cast(a.start as bigint) as s, cast(b.start + length(b.s) as bigint) as e, 'bold' as name, 'true' as val from marked m join at a on a.doc = m.doc and a.i = 1 join at b on b.doc = m.doc and b.i = 2
-    union all select m.doc, cast(a.start as bigint), cast(b.start + length(b.s) as bigint), 'colour', lang from marked m join at a on a.doc = m.doc and a.i = n - 3 join at b on b.doc = m.doc and b.i = n - 1 where lang is not null"""
+    + """ select m.doc, cast(a.start as bigint) as s, cast(b.start + length(b.s) as bigint) as e, 'bold' as name, 'true' as val from marked m join lat a on a.doc = m.doc and a.i = 1 join lat b on b.doc = m.doc and b.i = 2
+    union all select m.doc, cast(a.start as bigint), cast(b.start + length(b.s) as bigint), 'colour', lang from marked m join lat a on a.doc = m.doc and a.i = n - 3 join lat b on b.doc = m.doc and b.i = n - 1 where lang is not null"""
 )
 def marks_intervals(spark, sf_dir):
     m = marks.intervals(S.texts(spark, sf_dir))
@@ -455,7 +455,7 @@ def marks_intervals(spark, sf_dir):
 
 @query(
     w(S.SQL_TEXTS)
-    + """, flag as (select t.doc, t.i, t.s, t.start, coalesce(m.n is not null and t.i between 1 and 2, false) as b, case when m.n is not null and t.i between m.n - 3 and m.n - 1 then m.lang end as c from at t left join marked m on m.doc = t.doc),
+    + """, flag as (select t.doc, t.i, t.s, t.start, coalesce(m.n is not null and t.i between 1 and 2, false) as b, case when m.n is not null and t.i between m.n - 3 and m.n - 1 then m.lang end as c from lat t left join marked m on m.doc = t.doc),
     y as (select *, concat_ws(',', case when b then 'bold=true' end, 'colour=' || c) as mk from flag), z as (select *, row_number() over (partition by doc order by i) - row_number() over (partition by doc, mk order by i) as g from y)
     select doc, mk as marks, cast(min(start) as bigint) as s, cast(max(start + length(s)) as bigint) as e, count(*) as n_lines from z group by doc, mk, g"""
 )
@@ -475,7 +475,7 @@ def spans_of_events(spark, sf_dir):
     return marks.islands(x, ["obj"], ["m"], "pos", "w")
 
 
-@query(w(S.SQL_TEXTS) + " select doc, case when 60 < b.start + length(b.s) and 60 >= a.start then 'bold' end as name from marked m join at a using (doc) join at b using (doc) where a.i = 1 and b.i = 2 and 60 >= a.start and 60 < b.start + length(b.s)")
+@query(w(S.SQL_TEXTS) + " select doc, case when 60 < b.start + length(b.s) and 60 >= a.start then 'bold' end as name from marked m join lat a using (doc) join lat b using (doc) where a.i = 1 and b.i = 2 and 60 >= a.start and 60 < b.start + length(b.s)")
 def marks_at_position(spark, sf_dir):
     return marks.marks_at(marks.intervals(S.texts(spark, sf_dir)), 60).where("name = 'bold'").select("doc", "name")
 

@@ -183,7 +183,7 @@ def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 SQL_TEXTS = """
 src as (select 't' || doc_id as doc, doc_id, lang, string_split(coalesce(text, ''), chr(10)) as lines from documents where doc_id is not null),
 line as (select doc, unnest(range(0, len(lines))) as i, unnest(lines) || chr(10) as s from src),
-at as (select *, coalesce(sum(length(s)) over (partition by doc order by i rows between unbounded preceding and 1 preceding), 0) as start from line),
+lat as (select *, coalesce(sum(length(s)) over (partition by doc order by i rows between unbounded preceding and 1 preceding), 0) as start from line),
 marked as (select doc, lang, len(lines) as n from src where len(lines) >= 4 and doc_id in (select doc_id from labels))"""
 
 
