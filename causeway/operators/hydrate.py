@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.frames import cut
+from ..functions.frames import cut, written
 from ..functions.schema import MAKE_LIST, MAKE_MAP, MAKE_TEXT, MAKES, SET, show_id, value
 from .register import winners
 from .sequence import OBJ, elements
@@ -104,16 +104,16 @@ def from_json(docs: DataFrame, actor: bytes, json_col: str = "json") -> DataFram
     """
     src = docs.select("doc", F.parse_json(json_col).alias("v"))
     bad = F.when(F.schema_of_variant("v").startswith("OBJECT"), F.col("v")).otherwise(F.raise_error(F.lit("the root of a document must be an object")).cast("variant"))
-    front = cut(src.select("doc", bad.alias("v"), F.lit(0).cast("long").alias("obj_n"), F.lit("map").alias("obj_kind")))
+    front = written(src.select("doc", bad.alias("v"), F.lit(0).cast("long").alias("obj_n"), F.lit("map").alias("obj_kind")), "json")
     base = front.select("doc").distinct().withColumn("at", F.lit(0).cast("long"))
     out = None
     for _ in range(MOST_DEPTH):
         front.createOrReplaceTempView("cw_front")
-        kids = cut(front.sparkSession.sql("select doc, obj_n, obj_kind, e.pos, e.key, e.value as v from cw_front, lateral variant_explode(v) e"))
+        kids = front.sparkSession.sql("select doc, obj_n, obj_kind, e.pos, e.key, e.value as v from cw_front, lateral variant_explode(v) e")
         kind = F.schema_of_variant("v")
         here = base.select(F.col("doc").alias("b_doc"), "at")
         kids = kids.withColumn("t", kind).join(here, F.col("doc") == F.col("b_doc")).drop("b_doc")
-        kids = cut(kids.withColumn("ctr", F.col("at") + F.row_number().over(Window.partitionBy("doc").orderBy("obj_n", "pos"))))
+        kids = written(kids.withColumn("ctr", F.col("at") + F.row_number().over(Window.partitionBy("doc").orderBy("obj_n", "pos"))), "json")
         if kids.isEmpty():
             break
         before = F.lag("ctr").over(Window.partitionBy("doc", "obj_n").orderBy("pos"))
@@ -145,7 +145,7 @@ def from_json(docs: DataFrame, actor: bytes, json_col: str = "json") -> DataFram
         )
         out = own if out is None else out.unionByName(own)
         base = cut(kids.groupBy("doc").agg(F.max("ctr").alias("at")))
-        front = cut(kids.where(is_map | is_list).select("doc", "v", F.col("ctr").alias("obj_n"), F.when(F.col("t").startswith("OBJECT"), "map").otherwise("list").alias("obj_kind")))
+        front = kids.where(is_map | is_list).select("doc", "v", F.col("ctr").alias("obj_n"), F.when(F.col("t").startswith("OBJECT"), "map").otherwise("list").alias("obj_kind"))
         if front.isEmpty():
             break
     return out
