@@ -41,13 +41,13 @@ def differencing(sizes: list[int], k: int) -> list[list[int]]:
         _, tie, a, x = heapq.heappop(heap)
         _, _, b, y = heapq.heappop(heap)
         sums, y = a + b[::-1], y[::-1]
-        node = np.where(x >= 0, x, y)
-        both = np.flatnonzero((x >= 0) & (y >= 0))
+        node = np.maximum(x, y)  # -1 is an empty set
+        both = (np.minimum(x, y) >= 0).nonzero()[0]
         if len(both):
             node[both] = n + len(left) + np.arange(len(both))
             left.extend(x[both].tolist())
             right.extend(y[both].tolist())
-        order = np.argsort(-sums, kind="stable")
+        order = (-sums).argsort(kind="stable")
         sums, node = sums[order], node[order]
         sums = sums - sums[-1]
         heapq.heappush(heap, (-int(sums[0]), tie, sums, node))
