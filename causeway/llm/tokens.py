@@ -20,6 +20,7 @@ first, equal ids by xxhash64 of the text; repeated rows are all kept; a table wi
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 import uuid
 import zlib
@@ -53,6 +54,8 @@ _BLANK[[32, 10]] = True
 _ODD = np.zeros(256, bool)
 _ODD[:32] = True
 _ODD[10] = False
+_LEAD = np.zeros(256, bool)
+_LEAD[[0xC2, 0xE1, 0xE2, 0xE3]] = True
 
 
 class Encoder:
@@ -65,8 +68,22 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.size = self.tokenizer.get_vocab_size()
         self.added = [str(x.content) for x in self.tokenizer.get_added_tokens_decoder().values()]
+        self.bare = self._without_regex(path)
         self._empty()
 
+    @staticmethod
+    def _without_regex(path: str):
+        """The same tokenizer without the pattern, for pieces that it wouldn't cut; None if its pre-tokenizer is another."""
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        own = json.loads(Tokenizer.from_file(path).to_str())
+        pre = own.get("pre_tokenizer") or {}
+        if own.get("normalizer") or pre.get("type") != "ByteLevel" or pre.get("add_prefix_space") or not pre.get("use_regex", True):
+            return None
+        bare = Tokenizer.from_file(path)
+        bare.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        return bare
+
     def _empty(self) -> None:
         # pieces by number: where their ids begin, how many; two tables of slots lead to the numbers, the rest is sorted
         self.at, self.n, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int32)
@@ -75,7 +92,13 @@ class Encoder:
 
     def _plain(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Numbers of ids, and the ids end to end."""
-        got = [x.ids for x in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
+        if self.bare is None:
+            got = [x.ids for x in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
+        else:
+            word = [p.isascii() and (p.isalpha() or (p[:1] == " " and p[1:].isalpha())) for p in pieces]
+            one = iter(self.bare.encode_batch_fast([p for p, w in zip(pieces, word) if w], add_special_tokens=False))
+            rest = iter(self.tokenizer.encode_batch_fast([p for p, w in zip(pieces, word) if not w], add_special_tokens=False))
+            got = [next(one).ids if w else next(rest).ids for w in word]
         n = np.fromiter(map(len, got), np.int32, len(got))
         return n, np.fromiter(chain.from_iterable(got), np.int32, int(n.sum()))
 
@@ -124,7 +147,7 @@ class Encoder:
     def _whole(self, data: np.ndarray, offs: np.ndarray) -> np.ndarray:
         """Texts for which the cuts aren't certain."""
         bad = _ODD[data]
-        if len(data) > 1:
+        if _LEAD[data].any():
             a, b = data[:-1], data[1:]
             bad[:-1] |= ((a == 0xC2) & ((b == 0xA0) | (b == 0x85))) | ((a == 0xE1) & (b == 0x9A)) | ((a == 0xE2) & ((b == 0x80) | (b == 0x81))) | ((a == 0xE3) & (b == 0x80))
         sums = np.concatenate([[0], np.cumsum(bad)])
@@ -165,8 +188,10 @@ class Encoder:
                     u, first = np.unique(h[few], return_index=True)
                     self._empty()
                     self._learn(u, [raw[start[k] : end[k]].decode() for k in few[first].tolist()])
-                number = self._find(h)
-                number[lone] = 0
+                    number = self._find(h)
+                    number[lone] = 0
+                else:
+                    number[miss] = self._find(h[miss])
             n, at = (self.n[number].astype(np.int64), self.at[number]) if len(self.n) else (np.zeros(len(start), np.int64), np.zeros(len(start), np.int64))
             ids = self.ids
             if lone.any():
