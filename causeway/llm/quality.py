@@ -1,12 +1,13 @@
 """Quality classifier: naive Bayes support vectors.
 
-Features are indicators of hashed byte n-grams (three bytes, lower-cased and as written, digits as one digit) of the
-whole text. Their class log-count ratios come from all labelled training rows; a linear hinge-loss model on the scaled,
+Features are indicators of n-grams of the whole text: hashed runs of three bytes (digits as one digit), and runs of six
+words in which each word is told only by how far back the same word stood (one, two, three words, or further), which is
+what repetition looks like in any language. Their class log-count ratios come from all labelled training rows; a linear hinge-loss model on the scaled,
 length-normalised indicators is then fitted by dual coordinate descent on a bounded sample of labelled rows, and its
 margin becomes a probability by logistic regression on rows that the fit didn't see.
 
 Everything but that sample covers all data. Counts are summed as blocks of the feature table; the model has a fixed size
-of 2**BITS floats, which bounds what is broadcast.
+of SIZE floats, which bounds what is broadcast.
 
 Defined results: null text is the empty text, which has no features and gets the score of the bias alone; a label that
 isn't 0 or 1 is left out; several labels of one id count as 1 if at least half of them are; if only one class is
@@ -33,11 +34,34 @@ BITS = 17
 SAMPLE, CALIBRATE = 8_000, 0.25
 #: Labels whose ids may be broadcast (16 bytes each); more are joined by a shuffle.
 BROADCAST_ROWS = 2_000_000
-BLOCK = 1 << 13
+BLOCK = 1 << 12
 _FOLD = np.arange(256, dtype=np.uint32)
 _FOLD[48:58] = 48
 
 
+#: Words of a repetition n-gram; each takes two bits.
+REPEAT = 6
+SIZE = (1 << BITS) + (1 << 2 * REPEAT)
+
+
+def repeats(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Repetition n-grams of each run of REPEAT words within one text, and the number of runs before each text."""
+    starts, ends, before = X.words(data, offs)
+    h = X.word_hashes(data, starts, ends)
+    first = np.repeat(before[:-1], np.diff(before))
+    at = np.arange(len(h))
+    code = np.zeros(len(h), np.int64)
+    for back in (3, 2, 1):
+        same = np.zeros(len(h), bool)
+        same[back:] = (h[back:] == h[:-back]) & (at[back:] - back >= first[back:])
+        code[same] = back
+    n = np.maximum(np.diff(before) - REPEAT + 1, 0)
+    gram = np.zeros(max(0, len(h) - REPEAT + 1), np.int64)
+    for k in range(REPEAT if len(gram) else 0):
+        gram |= code[k : k + len(gram)] << 2 * k
+    return gram[X.runs(before[:-1], n)], np.concatenate([[0], np.cumsum(n)])
+
+
 def features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Offsets and, sorted within each text, the distinct features of the texts."""
     data, offs = X.raw(texts)
@@ -49,6 +73,7 @@ def features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     h = (gram * np.uint32(0x9E3779B1)) >> np.uint32(32 - BITS)
     size = np.maximum(np.diff(offs) - 2, 0)
     seen = np.zeros(1 << BITS, bool)
+    gram, runs = repeats(data, offs)
     out, total = [], np.zeros(n + 1, np.int64)
     for i, (lo, k) in enumerate(zip(offs[:-1].tolist(), size.tolist())):
         own = h[lo : lo + k]
@@ -58,6 +83,7 @@ def features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
             seen[own] = False
         else:
             own = np.unique(own)
+        own = np.concatenate([own, np.unique(gram[runs[i] : runs[i + 1]]) + (1 << BITS)])
         out.append(own)
         total[i + 1] = len(own)
     return np.cumsum(total), np.concatenate(out).astype(np.int64) if out else np.zeros(0, np.int64)
@@ -135,16 +161,16 @@ def fit(rows: DataFrame) -> Model:
     """Learn from (id, text, y)."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, n = np.zeros((2, 1 << BITS), np.int64), np.zeros(2, np.int64)
+        total, n = np.zeros((2, SIZE), np.int64), np.zeros(2, np.int64)
         for batch in batches:
             texts, y = X.texts_of(batch["text"]), batch["y"].to_numpy(zero_copy_only=False)
             for lo, hi in X.slices(texts):
                 offs, feats = features(texts[lo:hi])
                 own = np.repeat(y[lo:hi], np.diff(offs))
                 for k in (0, 1):
-                    total[k] += np.bincount(feats[own == k], minlength=1 << BITS)
+                    total[k] += np.bincount(feats[own == k], minlength=SIZE)
                 n += np.bincount(y[lo:hi], minlength=2)
-        for at in range(0, 1 << BITS, BLOCK):
+        for at in range(0, SIZE, BLOCK):
             part = total[:, at : at + BLOCK]
             if part.any():
                 yield pa.RecordBatch.from_pydict({"block": pa.array([at], pa.int32()), "blob": pa.array([part.astype("<i8").tobytes()], pa.binary())})
@@ -154,7 +180,7 @@ def fit(rows: DataFrame) -> Model:
         total = sum(np.frombuffer(b.as_buffer(), "<i8") for b in t["blob"])
         return pa.table({"block": t["block"][:1], "blob": pa.array([total.tobytes()], pa.binary())})
 
-    counts, n = np.zeros((2, 1 << BITS)), np.zeros(2)
+    counts, n = np.zeros((2, SIZE)), np.zeros(2)
     for r in rows.select("text", "y").mapInArrow(count, "block int, blob binary").groupBy("block").applyInArrow(add, "block int, blob binary").toLocalIterator():
         v = np.frombuffer(r["blob"], "<i8")
         if r["block"] < 0:
@@ -164,7 +190,7 @@ def fit(rows: DataFrame) -> Model:
     if n.min() == 0:
         share = float(n[1] / n.sum()) if n.sum() else 0.5
         share = min(max(share, 1e-6), 1 - 1e-6)
-        return Model(np.zeros(1 << BITS, np.float32), 0.0, 0.0, math.log(share / (1 - share)))
+        return Model(np.zeros(SIZE, np.float32), 0.0, 0.0, math.log(share / (1 - share)))
     # smoothed shares of each class's documents that have the feature
     ratio = np.log((counts[1] + 1) / (n[1] + 2)) - np.log((counts[0] + 1) / (n[0] + 2))
     # both classes are sampled, by the hash of the id
