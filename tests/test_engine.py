@@ -401,3 +401,73 @@ def test_chunk_codecs():
     assert C.uleb(624485) == bytes([0xE5, 0x8E, 0x26]) and C.sleb(-123456) == bytes([0xC0, 0xBB, 0x78])
     for n in (0, 1, -1, 63, 64, -64, -65, 2**62, -(2**63)):
         assert C.Bytes(C.sleb(n)).sleb() == n
+
+
+def test_spans_are_updated_in_two_passes():
+    rng = random.Random(7)
+    d = Draft([], b"\x01", "d")
+    t = d.put_object(ROOT, "t", MAKE_TEXT)
+    for _ in range(30):
+        want = []
+        for _ in range(rng.randrange(5)):
+            piece = {"type": rng.choice("ph")} if rng.random() < 0.3 else "".join(rng.choice("abé😀") for _ in range(rng.randrange(1, 5)))
+            mark = {k: v for k in ("bold", "link") if (v := rng.choice([None, None, True, "u"]))}
+            if want and isinstance(piece, str) and isinstance(want[-1][0], str) and want[-1][1] == mark:
+                continue
+            want.append((piece, mark))
+        d.update_spans(t, want)
+        assert d.spans(t) == want
+
+
+def test_feed(spark):
+    from causeway.operators import feed
+
+    d = Draft([], b"\x01", "d")
+    d.fill(ROOT, {"a": 1, "m": {"x": 1, "y": {"z": 1}}})
+    _, ops = d.commit()
+    _, before = frames(spark, [], ops)
+    m = d.get(ROOT, "m")[1]
+    d.put(ROOT, "a", 2)
+    d.put(m, "x", 5)
+    d.put(d.get(m, "y")[1], "z", 9)
+    _, more = d.commit()
+    _, every = frames(spark, [], ops + more)
+    cursor = feed.DiffCursor()
+    assert {r["class"] for r in cursor.advance(before).collect()} == {"add"}
+    assert sorted((r["key"], r["class"]) for r in cursor.advance(every).where("class <> 'same'").collect()) == [("ka", "put"), ("kx", "put"), ("kz", "put")]
+    assert cursor.advance(every).where("class <> 'same'").count() == 0
+    cursor.reset()
+    assert cursor.clock is None
+    at = lambda o: o.groupBy("doc", "actor").agg(F.max("ctr").alias("max_op"))
+    keys = lambda **k: sorted(r["key"] for r in feed.diff_path(every, at(before), at(every), **k).where("class = 'put'").collect())
+    assert keys(path=["m"]) == ["kx", "kz"] and keys(path=["m"], recursive=False) == ["kx"]
+    assert keys(path=[]) == ["ka", "kx", "kz"] and keys(path=[], recursive=False) == ["ka"]
+
+
+def test_patches_apply_to_values():
+    from causeway.operators.feed import apply_patch
+
+    v = {"l": [1, 2], "t": "abc", "n": Counter(1)}
+    apply_patch(v, ["l"], "insert", 1, [7, 8])
+    apply_patch(v, ["l"], "delete", 0, count=2)
+    apply_patch(v, ["t"], "splice", 1, "XY")
+    apply_patch(v, ["t"], "delete", 0)
+    apply_patch(v, [], "put", "k", {"a": 1})
+    apply_patch(v, ["k"], "put", "a", 2)
+    apply_patch(v, [], "increment", "n", 4)
+    apply_patch(v, [], "delete", "gone")
+    assert v == {"l": [8, 2], "t": "XYbc", "n": 5, "k": {"a": 2}}
+
+
+def test_span_differences(spark):
+    from causeway.operators import feed
+
+    d = Draft([], b"\x01", "d")
+    t = d.put_object(ROOT, "t", MAKE_TEXT)
+    d.splice_text(t, 0, 0, "abcd")
+    first = d.next - 1
+    d.mark(t, 1, 3, "em", True, "none")
+    _, odf = frames(spark, [], d.pending)
+    clock = spark.createDataFrame([("d", b"\x01", first)], "doc string, actor binary, max_op long")
+    got = sorted((r["class"], r["text"], r["marks"]) for r in feed.diff_spans(odf, clock, None).collect())
+    assert got == [("add", "a", ""), ("add", "bc", "em=true"), ("add", "d", ""), ("del", "abcd", "")]
