@@ -31,7 +31,13 @@ def w(*parts: str) -> str:
     return "with " + ",".join(parts)
 
 
-NUM = F.coalesce(F.col("value.d"), F.col("value.i").cast("double"))
+
+
+def num():
+    """A register's value as a double."""
+    return F.coalesce(F.col("value.d"), F.col("value.i").cast("double"))
+
+
 N_SQL = "coalesce(cast(total as double), v)"
 who = S.actor_no
 
@@ -41,20 +47,20 @@ who = S.actor_no
 @query(w(S.SQL_OPS, S.sql_live(), S.sql_win()) + f" select doc, k, {N_SQL} as val, ctr, actor as who, n > 1 as conflict, n from win")
 def register_get(spark, sf_dir):
     v = register.winners(S.ops(spark, sf_dir))
-    return v.select("doc", F.col("key_str").alias("k"), NUM.alias("val"), "ctr", who("actor").alias("who"), "conflict", "n")
+    return v.select("doc", F.col("key_str").alias("k"), num().alias("val"), "ctr", who("actor").alias("who"), "conflict", "n")
 
 
 @query(w(S.SQL_OPS, S.sql_live(DAY2), S.sql_win()) + f" select doc, k, {N_SQL} as val, ctr, actor as who, n > 1 as conflict from win")
 def register_get_at(spark, sf_dir):
     o = S.ops(spark, sf_dir)
     v = register.winners(o, S.clock_before(o, DAY2))
-    return v.select("doc", F.col("key_str").alias("k"), NUM.alias("val"), "ctr", who("actor").alias("who"), "conflict")
+    return v.select("doc", F.col("key_str").alias("k"), num().alias("val"), "ctr", who("actor").alias("who"), "conflict")
 
 
 @query(w(S.SQL_OPS, S.sql_live()) + f" select doc, k, {N_SQL} as val, ctr, actor as who, row_number() over (partition by doc, k order by ctr, actor) as place from live")
 def register_get_all(spark, sf_dir):
     v = register.get_all(S.ops(spark, sf_dir))
-    return v.select("doc", F.col("key_str").alias("k"), NUM.alias("val"), "ctr", who("actor").alias("who"), F.col("place").cast("long").alias("place"))
+    return v.select("doc", F.col("key_str").alias("k"), num().alias("val"), "ctr", who("actor").alias("who"), F.col("place").cast("long").alias("place"))
 
 
 @query(w(S.SQL_OPS, S.sql_live()) + " select distinct doc, k from live")
@@ -65,21 +71,21 @@ def register_keys(spark, sf_dir):
 @query(w(S.SQL_OPS, S.sql_live(), S.sql_win()) + f" select doc, list(k || '=' || cast(round({N_SQL} * 100) as bigint) order by k) as vals from win group by doc")
 def register_values(spark, sf_dir):
     v = register.winners(S.ops(spark, sf_dir))
-    item = F.concat("key_str", F.lit("="), F.round(NUM * 100).cast("long").cast("string"))
+    item = F.concat("key_str", F.lit("="), F.round(num() * 100).cast("long").cast("string"))
     return v.groupBy("doc").agg(F.transform(F.array_sort(F.collect_list(F.struct("key_str", item.alias("x")))), lambda s: s["x"]).alias("vals"))
 
 
 @query(w(S.SQL_OPS, S.sql_live(), S.sql_win()) + f" select doc, k, {N_SQL} as val, n > 1 as conflict from win where k >= 'click/2' and k < 'purchase'")
 def register_map_range(spark, sf_dir):
     v = register.map_range(register.winners(S.ops(spark, sf_dir)), "click/2", "purchase")
-    return v.select("doc", F.col("key_str").alias("k"), NUM.alias("val"), "conflict")
+    return v.select("doc", F.col("key_str").alias("k"), num().alias("val"), "conflict")
 
 
 @query(w(S.SQL_OPS, S.sql_live(DAY2), S.sql_win()) + f" select doc, k, {N_SQL} as val from win where k > 'click/2' and k <= 'view/3'")
 def register_map_range_at(spark, sf_dir):
     o = S.ops(spark, sf_dir)
     v = register.map_range(register.winners(o, S.clock_before(o, DAY2)), "click/2", "view/3", low_open=True, high_closed=True)
-    return v.select("doc", F.col("key_str").alias("k"), NUM.alias("val"))
+    return v.select("doc", F.col("key_str").alias("k"), num().alias("val"))
 
 
 @query(w(S.SQL_OPS, S.sql_live(DAY1, "a"), S.sql_live(None, "b")) + " select doc, (select count(distinct k) from a where a.doc = b.doc) as then_length, count(distinct k) as length from b group by doc")
@@ -269,7 +275,7 @@ def merge_converges(spark, sf_dir):
     a, b = o.where(who("actor") < 2), o.where("ctr % 3 > 0")
     rest = o.where((who("actor") >= 2) & (F.col("ctr") % 3 == 0))
     both = merge.merge_ops(merge.merge_ops(a, b), rest.unionByName(a.limit(0)))
-    return register.winners(merge.merge_ops(both, b)).select("doc", F.col("key_str").alias("k"), NUM.alias("val"), "n")
+    return register.winners(merge.merge_ops(both, b)).select("doc", F.col("key_str").alias("k"), num().alias("val"), "n")
 
 
 @query(w(S.SQL_OPS) + f" select doc, count(*) as ops, count(distinct actor) as actors from ops where ep < timestamp '{DAY2}' group by doc")
@@ -674,7 +680,7 @@ def write_update_map(spark, sf_dir):
     docs = register.winners(o).select("doc").distinct()
     rows = [F.struct(F.lit(k).alias("k"), F.lit(v).alias("v")) for k, v in (("a", 1.0), ("b", 2.0))]
     want = docs.select("doc", F.explode(F.array(*rows)).alias("r")).select("doc", F.lit(0).cast("long").alias("obj_ctr"), F.lit(None).cast("binary").alias("obj_actor"), F.col("r.k").alias("key_str"), value("f64", F.col("r.v")).alias("value"))
-    return register.winners(o.unionByName(write.update_map(o, want, b"\x09"))).select("doc", F.col("key_str").alias("k"), NUM.alias("val"))
+    return register.winners(o.unionByName(write.update_map(o, want, b"\x09"))).select("doc", F.col("key_str").alias("k"), num().alias("val"))
 
 
 @query(w(S.SQL_LISTS) + " select doc, count(*) + 1 as length, first(text order by pos) as second from shown group by doc")

@@ -121,3 +121,14 @@ def test_contract():
 
     q, s = entry.queries(), entry.oracle_sql()
     assert set(s) <= set(q) and "register_get" in q
+
+
+def test_contract_is_read_without_a_session():
+    """The lists are read by processes that have no Spark."""
+    import os
+    import subprocess
+    import sys
+
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    out = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()))"], cwd=root, capture_output=True, text=True)
+    assert out.returncode == 0 and int(out.stdout.split()[0]) > 50, out.stderr
