@@ -31,7 +31,7 @@ ANCHOR = 4
 #: Estimated windows a bucket: what one task of the exact pass holds at once, about 20 bytes each.
 BUCKET = 1_000_000
 #: Candidate windows of a partition that are settled at once.
-HELD = 1 << 21
+HELD = 1 << 20
 SECOND = 0xA0761D6478BD642F | 1
 
 
