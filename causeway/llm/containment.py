@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import text as X
+from .frames import lean
 
 U = np.uint64
 #: Text of the items that one broadcast may hold.
@@ -124,7 +125,7 @@ def _counts(docs: DataFrame, text_col: str, vocabulary: np.ndarray) -> np.ndarra
 
     out = np.zeros(len(vocabulary), np.int64)
     if len(vocabulary):
-        for r in docs.select(text_col).mapInArrow(count, "word int, n long").groupBy("word").agg(F.sum("n").alias("n")).toLocalIterator():
+        for r in docs.select(text_col).mapInArrow(lean(count), "word int, n long").groupBy("word").agg(F.sum("n").alias("n")).toLocalIterator():
             out[r["word"]] = r["n"]
     return out
 
@@ -167,7 +168,7 @@ def contamination(
                 cols += [pa.array(n, pa.int64()), pa.array(hit, pa.int64()), pa.array([sorted(set(x)) for x in lists], pa.list_(pa.string())), pa.array((hit > 0) & (share * hit >= n))]
                 yield pa.RecordBatch.from_arrays(cols, names=[*batch.schema.names, "n_words", "n_hit", "items", "contaminated"])
 
-    return src.mapInArrow(judge, _schema(src))
+    return src.mapInArrow(lean(judge), _schema(src))
 
 
 def _schema(src: DataFrame):
@@ -204,7 +205,7 @@ def _many(src: DataFrame, blocks: list[Windows], text_col: str, share: int) -> D
                     cols["n_words"] = pa.array(np.diff(before), pa.int64())
                     yield pa.RecordBatch.from_pydict(cols)
 
-        frame = frame.mapInArrow(add, schema)
+        frame = frame.mapInArrow(lean(add), schema)
     hit = F.expr(
         "aggregate(array_sort(cw_ranges), named_struct('n', 0L, 'at', 0), (s, r) -> named_struct("
         "'n', s.n + greatest(0, r.hi - greatest(r.lo, s.at)), 'at', greatest(s.at, r.hi)), s -> s.n)"

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -48,10 +51,34 @@ def text_bytes(docs: DataFrame, text: str = "text") -> int:
     return docs.agg(F.sum(F.octet_length(text)).alias("n")).first()["n"] or 0
 
 
+#: Rows of an Arrow batch between Spark and Python: whole texts can be long, and each side holds a batch or two a task.
+BATCH_ROWS = 1_000
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of a folder. Unless the session has chosen otherwise, batches to Python are small from here on."""
+    batch = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(batch) == "10000":
+        spark.conf.set(batch, str(BATCH_ROWS))
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The same step, after which the worker gives freed memory back: it waits for its next task beside busy ones."""
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL("libc.so.6").malloc_trim(0)
+            except (OSError, AttributeError):  # another C library
+                pass
+
+    return wrapped
+
+
 def sampled(df: DataFrame, by: Column, n: int) -> DataFrame:
     """At most n rows of df, those with the smallest hashes of `by`: the same whatever the partitions.
 

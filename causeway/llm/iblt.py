@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import text as X
+from .frames import lean
 
 U = np.uint64
 PIECE, CELLS, HASHES = 8, 24, 3
@@ -242,4 +243,4 @@ def fingerprint_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
     given = docs.schema[id_col].dataType.simpleString()
     schema = f"`{id_col}` {given}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(lean(run), schema)

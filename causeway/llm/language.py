@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import text as X
-from .frames import sampled
+from .frames import lean, sampled
 
 DIMS, CENTROIDS, ROUNDS = 4096, 4, 8
 #: Rows of each language that its centroids are fitted on, at most, and languages.
@@ -113,7 +113,7 @@ def fit(rows: DataFrame) -> Model:
             yield pa.RecordBatch.from_pydict({"d": pa.array([*np.flatnonzero(total), DIMS], pa.int32()), "n": pa.array([*total[total > 0], n], pa.int64())})
 
     df, n = np.zeros(DIMS + 1), 0
-    for r in rows.select("text").mapInArrow(frequency, "d int, n long").groupBy("d").agg(F.sum("n").alias("n")).toLocalIterator():
+    for r in rows.select("text").mapInArrow(lean(frequency), "d int, n long").groupBy("d").agg(F.sum("n").alias("n")).toLocalIterator():
         df[r["d"]] = r["n"]
     n = df[DIMS]
     idf = np.log((n + 1) / (df[:DIMS] + 1)) + 0.05
@@ -132,7 +132,7 @@ def fit(rows: DataFrame) -> Model:
     centroids, owner, least = [], [], []
     for j, lang in enumerate(langs):
         picked = sampled(rows.where(F.col("lang") == lang), F.col("id"), SAMPLE).select("text")
-        v = np.stack([np.frombuffer(r["v"], np.float16) for r in picked.mapInArrow(weighted, "v binary").collect()]).astype(np.float32)
+        v = np.stack([np.frombuffer(r["v"], np.float16) for r in picked.mapInArrow(lean(weighted), "v binary").collect()]).astype(np.float32)
         c = kmeans(v, CENTROIDS)
         centroids.append(c)
         owner += [j] * len(c)
@@ -161,4 +161,4 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame
                 yield pa.RecordBatch.from_arrays(cols, names=[*batch.schema.names, "lang_pred", "score", "rejected"])
 
     schema = T.StructType(list(src.schema.fields)).add("lang_pred", T.StringType()).add("score", T.DoubleType()).add("rejected", T.BooleanType())
-    return src.mapInArrow(run, schema)
+    return src.mapInArrow(lean(run), schema)

@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import text as X
+from .frames import lean
 from .tokens import Encoder, crc, with_end
 
 #: Windows partitioned at once.
@@ -136,4 +137,4 @@ def pack(
             yield rows(id_type)
 
     schema = f"`{id_col}` {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, `offset` long" + ", ids array<int>" * with_ids
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(packed, schema)
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(lean(packed), schema)

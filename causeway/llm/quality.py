@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import text as X
-from .frames import sampled
+from .frames import lean, sampled
 
 U = np.uint64
 BITS = 17
@@ -181,7 +181,7 @@ def fit(rows: DataFrame) -> Model:
         return pa.table({"block": t["block"][:1], "blob": pa.array([total.tobytes()], pa.binary())})
 
     counts, n = np.zeros((2, SIZE)), np.zeros(2)
-    for r in rows.select("text", "y").mapInArrow(count, "block int, blob binary").groupBy("block").applyInArrow(add, "block int, blob binary").toLocalIterator():
+    for r in rows.select("text", "y").mapInArrow(lean(count), "block int, blob binary").groupBy("block").applyInArrow(add, "block int, blob binary").toLocalIterator():
         v = np.frombuffer(r["blob"], "<i8")
         if r["block"] < 0:
             n = v.astype(float)
@@ -206,7 +206,7 @@ def fit(rows: DataFrame) -> Model:
 
     got = []
     for p in picked:
-        got += p.mapInArrow(indicators, "f binary, y int, h long").collect()  # at most SAMPLE rows
+        got += p.mapInArrow(lean(indicators), "f binary, y int, h long").collect()  # at most SAMPLE rows
     got.sort(key=lambda r: (r["h"], r["y"], bytes(r["f"])))
     feats, y = [np.frombuffer(r["f"], "<u4").astype(np.int64) for r in got], np.array([2 * r["y"] - 1 for r in got])
     step = round(1 / CALIBRATE)
@@ -240,4 +240,4 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", name: str = "sc
             s = [m.scores(*features(texts[lo:hi])) for lo, hi in X.slices(texts)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(s) if s else np.zeros(0), pa.float64())], names=[*batch.schema.names, name])
 
-    return src.mapInArrow(run, T.StructType(list(src.schema.fields)).add(name, T.DoubleType()))
+    return src.mapInArrow(lean(run), T.StructType(list(src.schema.fields)).add(name, T.DoubleType()))

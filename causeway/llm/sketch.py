@@ -13,6 +13,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .frames import lean
+
 U = np.uint64
 #: Odd multipliers of the rows.
 ROWS = (U(0x9E3779B97F4A7C15), U(0xC2B2AE3D27D4EB4F), U(0x165667B19E3779F9), U(0x27D4EB2F165667C5))
@@ -158,7 +160,7 @@ def build(
         out = np.packbits(total >= 2, bitorder="little") if cap == 2 else total.astype(np.uint8)
         return pa.table({"block": t["block"][:1], "blob": pa.array([out.tobytes()], pa.binary())})
 
-    frame = source.mapInArrow(parts, "block int, salt int, blob binary")
+    frame = source.mapInArrow(lean(parts), "block int, salt int, blob binary")
     if partitions > FAN:
         frame = frame.groupBy("block", "salt").applyInArrow(level, "block int, salt int, blob binary")
     per = (1 << width) // 8 if cap == 2 else 1 << width

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from . import sketch
 from . import text as X
-from .frames import text_bytes
+from .frames import lean, text_bytes
 
 U = np.uint64
 LAST = (1 << 63) - 1
@@ -161,7 +161,7 @@ def repeated_ranges(docs: DataFrame, id_col: str, text_col: str, k: int = 13, to
             out.append(_ranges(ids[later], th[later], at[later], k))
         return pa.table({c: pa.array(np.concatenate([r[c] for r in out]), kind) for c, kind in (("id", pa.int64()), ("th", pa.int64()), ("lo", pa.int32()), ("hi", pa.int32()))})
 
-    return src.mapInArrow(candidates, "bucket int, blob binary").groupBy("bucket").applyInArrow(group, "id long, th long, lo int, hi int")
+    return src.mapInArrow(lean(candidates), "bucket int, blob binary").groupBy("bucket").applyInArrow(group, "id long, th long, lo int, hi int")
 
 
 def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 13) -> DataFrame:
@@ -207,4 +207,4 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
                 )
 
     given = docs.schema[id_col].dataType.simpleString()
-    return joined.mapInArrow(strip, f"`{id_col}` {given}, n_words long, n_removed long, kept string")
+    return joined.mapInArrow(lean(strip), f"`{id_col}` {given}, n_words long, n_removed long, kept string")

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import text as X
-from .frames import sampled, shared_dir
+from .frames import lean, sampled, shared_dir
 
 U = np.uint64
 #: Pieces that a worker keeps between batches, about 40 bytes each, and bits of the number of slots they hash to.
@@ -76,7 +76,8 @@ class Encoder:
         """The same tokenizer without the pattern, for pieces that it wouldn't cut; None if its pre-tokenizer is another."""
         from tokenizers import Tokenizer, pre_tokenizers
 
-        own = json.loads(Tokenizer.from_file(path).to_str())
+        with open(path, encoding="utf-8") as f:
+            own = json.load(f)
         pre = own.get("pre_tokenizer") or {}
         if own.get("normalizer") or pre.get("type") != "ByteLevel" or pre.get("add_prefix_space") or not pre.get("use_regex", True):
             return None
@@ -262,7 +263,7 @@ def _train(docs: DataFrame, id_col: str, text_col: str, path: str) -> bytes:
                         room -= len(blob)
                         yield pa.RecordBatch.from_pydict({"ids": pa.array([blob], pa.binary())})
 
-    found = [bytes(r["ids"]) for r in rows.coalesce(1).mapInArrow(encoded, "ids binary").collect()]
+    found = [bytes(r["ids"]) for r in rows.coalesce(1).mapInArrow(lean(encoded), "ids binary").collect()]
     try:
         return zstandard.train_dictionary(DICTIONARY, found).as_bytes() if len(found) >= 16 else b""
     except zstandard.ZstdError:  # too little to train on
@@ -336,10 +337,10 @@ def write_tokens(docs: DataFrame, path: str, end_id: int, id_col: str = "doc_id"
 
     files = (
         src.withColumn("part", part_of.cast("int"))
-        .mapInArrow(encoded, "part int, id long, th long, n long, blob binary")
+        .mapInArrow(lean(encoded), "part int, id long, th long, n long, blob binary")
         .repartitionById(len(splits) + 1, "part")
         .sortWithinPartitions("part", F.asc_nulls_first("id"), "th")
-        .mapInArrow(write, "part int, uri string, docs long, tokens long")
+        .mapInArrow(lean(write), "part int, uri string, docs long, tokens long")
         .collect()
     )  # one row a file
     start, rows = 0, []
@@ -374,4 +375,4 @@ def read_tokens(files: DataFrame, dictionary: bytes, id_col: str = "doc_id", wit
                         yield pa.RecordBatch.from_pydict(cols)
 
     schema = f"`{id_col}` long, start long, n_tokens long, ids_crc32 long" + ", ids array<long>" * with_ids
-    return files.select("part", "uri", "start").repartitionById(n, F.col("part") % n).mapInArrow(decode, schema)
+    return files.select("part", "uri", "start").repartitionById(n, F.col("part") % n).mapInArrow(lean(decode), schema)

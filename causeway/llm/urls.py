@@ -23,6 +23,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .frames import lean
+
 MOST_RULES = 200_000
 TOKEN = re.compile(r"[a-z0-9]+")
 
@@ -118,7 +120,7 @@ def token_counts(pages: DataFrame, url_col: str, tokens: set[str]) -> dict[str,
                     total[t] += 1
         yield pa.RecordBatch.from_pydict({"t": pa.array(list(total), pa.string()), "n": pa.array(list(total.values()), pa.int64())})
 
-    return {r["t"]: r["n"] for r in pages.select(url_col).mapInArrow(count, "t string, n long").groupBy("t").agg(F.sum("n").alias("n")).collect()}
+    return {r["t"]: r["n"] for r in pages.select(url_col).mapInArrow(lean(count), "t string, n long").groupBy("t").agg(F.sum("n").alias("n")).collect()}
 
 
 def judge(pages: DataFrame, url_col: str = "url", prefixes: tuple[Prefix, ...] = PREFIXES, patterns: tuple[Pattern, ...] = PATTERNS) -> DataFrame:
@@ -140,4 +142,4 @@ def judge(pages: DataFrame, url_col: str = "url", prefixes: tuple[Prefix, ...] =
     schema = T.StructType(list(src.schema.fields))
     for n in names:
         schema = schema.add(n, T.StringType())
-    return src.mapInArrow(run, schema)
+    return src.mapInArrow(lean(run), schema)
