@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.schema import DELETE, ID, INCREMENT, MARK, SET, op_id
 from .register import visible
 
+PRED = f"array<{ID.simpleString()}>"
 OBJ_KEY = ["doc", "obj_ctr", "obj_actor", "key_str"]
 
 
@@ -31,11 +32,11 @@ def map_edits(ops: DataFrame, edits: DataFrame, actor: bytes, scope: DataFrame |
     regs = _registers(ops, scope)
     on = [F.col(f"e.{c}").eqNullSafe(F.col(f"r.{c}")) for c in OBJ_KEY]
     j = edits.alias("e").join(regs.alias("r"), on, "left").select("e.*", "ids", "win", "counters")
-    none = F.array().cast(f"array<{ID.simpleString()}>")
+    none = F.array().cast(PRED)
     same = (F.col("action") == SET) & (F.col("win.action") == SET) & F.col("win.value").eqNullSafe(F.col("value")) & (F.col("value.type") != "counter")
     losers = F.filter("ids", lambda x: (x["ctr"] != F.col("win.ctr")) | (x["actor"] != F.col("win.actor")))
     n = F.coalesce(F.size("ids"), F.lit(0))
-    bad = F.raise_error(F.concat(F.lit("no counter at "), F.col("key_str"))).cast(none_type(none))
+    bad = F.raise_error(F.concat(F.lit("no counter at "), F.col("key_str"))).cast(PRED)
     pred = F.when(same, losers).when(F.col("action") == INCREMENT, F.when(F.coalesce(F.size("counters"), F.lit(0)) > 0, F.col("counters")).otherwise(bad)).otherwise(F.coalesce("ids", none))
     j = j.where(~(F.coalesce(same, F.lit(False)) & (n <= 1)) & ~((F.col("action") == DELETE) & (n == 0)))
     out = j.withColumn("pred", pred).withColumn("action", F.when(same, DELETE).otherwise(F.col("action")))
@@ -61,10 +62,6 @@ def map_edits(ops: DataFrame, edits: DataFrame, actor: bytes, scope: DataFrame |
     )
 
 
-def none_type(_) -> str:
-    return f"array<{ID.simpleString()}>"
-
-
 def update_map(ops: DataFrame, wanted: DataFrame, actor: bytes, scope: DataFrame | None = None) -> DataFrame:
     """Operations that bring map objects to the wanted values (doc, obj_ctr, obj_actor, key_str, value).
 

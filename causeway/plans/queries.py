@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.schema import parse_cursor, parse_id, plain, show_cursor, show_id, text_width
-from ..operators import codec, diff, graph, hydrate, marks, merge, register, sequence, sync, write
+from ..functions.schema import parse_cursor, parse_id, show_cursor, show_id, text_width
+from ..operators import anonymize, codec, diff, graph, hydrate, marks, merge, register, sequence, sync, write
 from . import synth as S
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -697,5 +697,49 @@ def write_edit_many(spark, sf_dir):
     return e.groupBy("doc").agg(F.count("*").alias("length"), F.max(F.when(F.col("index") == 1, F.col("value.s"))).alias("second"))
 
 
-def show(df: DataFrame) -> DataFrame:
-    return df.withColumn("value", plain())
+# -- storage, streams, privacy
+
+
+@query("select s_suppkey, s_name, cast(round(s_acctbal * 100) as bigint) as cents, n_name from supplier join nation on n_nationkey = s_nationkey")
+def chunks_round_trip(spark, sf_dir):
+    """Suppliers as JSON documents, as operations, as binary chunks, and all the way back."""
+    from ..functions.frames import written
+    from ..functions.schema import CHANGES
+    from ..sources import chunks
+
+    s, n = S.table(spark, sf_dir, "supplier"), S.table(spark, sf_dir, "nation")
+    j = s.join(n, s["s_nationkey"] == n["n_nationkey"]).select(F.col("s_suppkey").cast("string").alias("doc"), F.to_json(F.struct("s_suppkey", "s_name", "s_acctbal", F.struct("n_name").alias("nation"))).alias("json"))
+    o = written(hydrate.from_json(j, b"\x01"), "ops")
+    none = F.array().cast("array<binary>")
+    own = o.groupBy("doc").agg(F.max("ctr").alias("max_op"))
+    c = own.select("doc", F.unhex(F.sha2("doc", 256)).alias("hash"), F.lit(b"\x01").alias("actor"), F.lit(1).cast("long").alias("seq"), F.lit(1).cast("long").alias("start_op"), "max_op", F.lit(0).cast("long").alias("time"), F.lit(None).cast("string").alias("message"), none.alias("deps"), F.lit(b"").alias("extra"))
+    files = written(chunks.write(chunks.rehashed(c, o).select(*CHANGES.names), o), "chunks")
+    back = written(chunks.read(files)[1], "ops")
+    r = hydrate.to_json(back).select(F.from_json("json", "s_suppkey bigint, s_name string, s_acctbal double, nation struct<n_name:string>").alias("r"))
+    return r.select("r.s_suppkey", "r.s_name", F.round(F.col("r.s_acctbal") * 100).cast("long").alias("cents"), "r.nation.n_name")
+
+
+@query(w(S.SQL_OPS, S.SQL_CHANGES) + " select doc, count(*) as n, count(*) as places, true as in_order from changes group by doc")
+def stream_causal_queue(spark, sf_dir):
+    """Changes arrive in two files, the later half first; the stream releases them in causal order."""
+    from ..functions.frames import written
+    from ..streaming import queue
+
+    c = S.changes(spark, sf_dir)
+    rows = queue.as_stream_rows(c).withColumn("late", F.col("hash") > F.unhex(F.lit("80")))
+    src = written(rows.where("late").drop("late"), "stream").inputFiles()[0].rsplit("/", 1)[0]
+    rows.where("not late").drop("late").write.mode("append").parquet(src)
+    out, cp = src + "-out", src + "-cp"
+    stream = queue.released(spark.readStream.schema(queue.IN).option("maxFilesPerTrigger", 1).parquet(src))
+    stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", cp).trigger(availableNow=True).start().awaitTermination()
+    got = spark.read.parquet(out)
+    e = graph.edges(c).join(got.select("doc", "hash", F.col("place").alias("at")), ["doc", "hash"]).join(got.select("doc", F.col("hash").alias("dep"), F.col("place").alias("dep_at")), ["doc", "dep"], "left")
+    ok = e.groupBy("doc").agg(F.min(F.coalesce(F.col("dep_at") < F.col("at"), F.lit(False))).alias("in_order"))
+    return got.groupBy("doc").agg(F.count("*").alias("n"), F.count_distinct("place").alias("places")).join(ok, "doc", "left").select("doc", "n", "places", F.coalesce("in_order", F.lit(True)).alias("in_order"))
+
+
+@query(w(S.SQL_OPS, S.sql_live(), S.sql_win()) + " select doc, ctr, n > 1 as conflict, n, counter from win")
+def anonymize_shape(spark, sf_dir):
+    """The anonymised log has the same winners, by counter, and the same conflicts."""
+    v = register.winners(anonymize.anonymize(S.ops(spark, sf_dir).drop("ep"), "seed"))
+    return v.select("doc", "ctr", "conflict", "n", (F.col("value.type") == "counter").alias("counter"))
