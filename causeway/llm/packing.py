@@ -129,7 +129,7 @@ def pack(
                     room += len(doc) - full
                     if room >= GROUP * window:
                         close()
-                    if len(out) >= 4096:
+                    if len(out) >= 512:
                         yield rows(id_type)
         if rest:
             close()

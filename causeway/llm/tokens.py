@@ -38,7 +38,7 @@ from .frames import lean, sampled, shared_dir
 
 U = np.uint64
 #: Pieces that a worker keeps between batches, about 40 bytes each, and bits of the number of slots they hash to.
-CACHE, SLOTS = 1_500_000, 22
+CACHE, SLOTS = 1_000_000, 21
 #: Documents and bytes of ids that the dictionary is trained on, at most, and its size.
 SAMPLE_DOCS, SAMPLE_BYTES, DICTIONARY = 2_000, 8 << 20, 64 << 10
 
@@ -93,13 +93,13 @@ class Encoder:
 
     def _plain(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Numbers of ids, and the ids end to end."""
-        if self.bare is None:
-            got = [x.ids for x in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
-        else:
-            word = [p.isascii() and (p.isalpha() or (p[:1] == " " and p[1:].isalpha())) for p in pieces]
-            one = iter(self.bare.encode_batch_fast([p for p, w in zip(pieces, word) if w], add_special_tokens=False))
-            rest = iter(self.tokenizer.encode_batch_fast([p for p, w in zip(pieces, word) if not w], add_special_tokens=False))
-            got = [next(one).ids if w else next(rest).ids for w in word]
+        got: list[list[int]] = []
+        for at in range(0, len(pieces), 4096):  # an encoding holds far more than its ids
+            own = pieces[at : at + 4096]
+            word = [self.bare is not None and p.isascii() and (p.isalpha() or (p[:1] == " " and p[1:].isalpha())) for p in own]
+            one = iter(self.bare.encode_batch_fast([p for p, w in zip(own, word) if w], add_special_tokens=False) if any(word) else ())
+            rest = iter(self.tokenizer.encode_batch_fast([p for p, w in zip(own, word) if not w], add_special_tokens=False))
+            got += [next(one).ids if w else next(rest).ids for w in word]
         n = np.fromiter(map(len, got), np.int32, len(got))
         return n, np.fromiter(chain.from_iterable(got), np.int32, int(n.sum()))
 
