@@ -84,7 +84,7 @@ def raw(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offs - offs[0]
 
 
-def slices(texts: pa.Array, size: int = 1_000_000):
+def slices(texts: pa.Array, size: int = 500_000):
     """(first row, end row) of runs of whole texts of about `size` bytes; a longer text stands alone."""
     _, offs = raw(texts)
     at, n = 0, len(texts)
