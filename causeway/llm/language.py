@@ -63,7 +63,7 @@ def vectors(texts: pa.Array, idf: np.ndarray) -> np.ndarray:
 
 
 def _pieces(texts: pa.Array):
-    """Runs of at most ROWS texts and about a megabyte."""
+    """Runs of at most ROWS texts and about half a megabyte."""
     for lo, hi in X.slices(texts):
         for a in range(lo, hi, ROWS):
             yield a, min(hi, a + ROWS)

@@ -114,11 +114,11 @@ def build(
     depth: int = 2,
     cap: int = 2,
     partitions: int = 0,
-    flush: int = FLUSH,
+    hold: int = FLUSH,
 ) -> Sketch:
     """Sketch of all keys that keys_of gives for the batches of `source`.
 
-    partitions: about how many the source has; over FAN, partial sketches merge in two levels. flush: keys of a partition
+    partitions: about how many the source has; over FAN, partial sketches merge in two levels. hold: keys of a partition
     that are held at once, about 40 bytes each while they are sorted; fewer make more and wider gaps.
     """
 
@@ -139,7 +139,7 @@ def build(
                     salt = int(keys[0] % U(FAN)) if salt is None else salt
                     held.append(keys)
                     n += len(keys)
-                if n >= flush:
+                if n >= hold:
                     yield flush()
         if n:
             yield flush()
