@@ -40,7 +40,7 @@ class Pattern:
     verdict: str
     name: str
     regex: str  # searched in the lower-cased URL
-    tokens: tuple[str, ...]  # all of them must stand in the URL as whole tokens
+    tokens: tuple[str, ...]  # in every URL that any alternative matches, all of them stand as whole tokens
 
 
 #: The contract's prefix rules.
@@ -48,7 +48,7 @@ PREFIXES = (Prefix("allow", "org/"), Prefix("block", "example.org/es/"), Prefix(
 #: Pattern rules of the query.
 PATTERNS = (
     Pattern("block", "casino", r"://([^/?#]*\.)?casino-win\.", ("casino", "win")),
-    Pattern("block", "bets", r"://([^/?#]*\.)?free-bets?\.|://([^/?#]*\.)?free-bets-", ("free", "bets")),
+    Pattern("block", "bets", r"://([^/?#]*\.)?free-bets?\.|://([^/?#]*\.)?free-bets-", ("free",)),
     Pattern("block", "pills", r"://([^/?#]*\.)?cheap-pills\.", ("cheap", "pills")),
     Pattern("block", "spam", r"://([^/?#]*\.)?spam-farm\.", ("spam", "farm")),
     Pattern("block", "adult", r"://([^/?#]*\.)?adult-[a-z0-9]+\.", ("adult",)),

@@ -377,6 +377,25 @@ def test_urls(spark):
     assert urls.judge(df.limit(0)).count() == 0
 
 
+def test_url_rules_hold_with_any_rarest_token(spark):
+    # every alternative and optional part of every rule, on the host itself and on a subdomain
+    forms = {
+        "casino": ["casino-win."], "bets": ["free-bet.", "free-bets.", "free-bets-"], "pills": ["cheap-pills."], "spam": ["spam-farm."],
+        "adult": ["adult-x.", "adult-9z."], "trackers": ["ads-track."],
+    }
+    given = [(name, f"http://{sub}{host}example.net/p") for name, hosts in forms.items() for host in hosts for sub in ("", "m.")]
+    given += [("feeds", f"http://a.net/p{before}utm_source=feed{after}") for before in ("?", "?x=1&") for after in ("", "&y=2", "#z")]
+    assert {name for name, _ in given} == {p.name for p in urls.PATTERNS}
+    for rarest in {t for p in urls.PATTERNS for t in p.tokens} | {"bets", "bet"}:
+        rules = urls.Rules((), urls.PATTERNS, {t: 0 if t == rarest else 9 for p in urls.PATTERNS for t in p.tokens})
+        assert [(rules.pattern(u).name if rules.pattern(u) else None, u) for _, u in given] == given
+    # in a table, `bets` is as rare as `free`, and then rarer
+    for more in ([], ["http://a.net/free"]):
+        df = spark.createDataFrame(list(enumerate(["http://free-bet.example.net/", "http://a.net/bets", *more])), "page_id long, url string")
+        got = {r["page_id"]: (r["verdict"], r["pattern"]) for r in urls.judge(df).collect()}
+        assert got[0] == ("block", "bets") and got[1] == ("allow", None)
+
+
 def test_pii_query_columns(spark, tmp_path):
     from causeway.llm.queries import op2_pii
 
