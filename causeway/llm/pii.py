@@ -5,14 +5,16 @@ get code-point positions from the lengths of the gaps between them. Each candida
 groups, signs, length) and context features (a cue word before it, what touches it). Shallow trees are boosted on the
 counts of distinct feature vectors: the table of all data's candidates grouped by feature vector, whose number of rows is
 bounded by the features' values (MOST_CELLS), so training reads every candidate and the driver holds a table of fixed
-size. The weak label of a candidate is whether the strict rules (Luhn, octets, digit counts) accept a span inside it;
-features leave out what those rules test. The trees become one CASE expression each. A kind's threshold is the lowest
-score at which the candidates above it are at least PRECISION accepted, measured on a fold that the trees didn't see.
+size. The weak label of a candidate is whether the strict rules (Luhn, octets, digit counts) accept a span inside it, or
+all of it once its disguise is undone (see _evidence); features leave out what those rules test. The trees become one CASE
+expression each. A kind's threshold is the lowest score at which the candidates above it are at least PRECISION accepted,
+measured on candidates that no base span touches, as only those can be added, of a fold that the trees didn't see.
 
-Base spans (strict rules) always stay; the method adds candidates of high score that no base span covers.
+Base spans (strict rules) always stay; the method adds candidates of high score that no base span touches.
 
-Defined results: null text is the empty text without spans; repeated rows get equal rows; without accepted or rejected
-candidates nothing is trained and base spans alone are returned; `redact` keeps all columns.
+Defined results: null text is the empty text without spans; repeated rows get equal rows; without accepted candidates
+nothing is trained, and without rejected ones all candidates have the same score; if no candidate can be added base spans
+alone are returned; `redact` keeps all columns.
 """
 
 from __future__ import annotations
@@ -41,11 +43,23 @@ GENERATORS = {
 }
 #: Words before a candidate that speak for a kind.
 CUES = r"(?i)(?:mail|contact|phone|tel|call|fax|mobile|ip|host|server|card|visa|account|iban|pay)[a-z]*[\x20:=#.]{0,3}$"
+#: What stands for @ and . in a disguised address, and what an address is once that is undone.
+AT, DOT = r"\x20?[\[(]at[\])]\x20?", r"\x20?[\[(]dot[\])]\x20?"
+ADDRESS = r"^[._%+-]*[A-Za-z0-9][A-Za-z0-9._%+-]*@(?:[A-Za-z0-9-]+\.){1,8}[A-Za-z]{2,}$"
+#: Words right before a number that say what it is, by kind; stricter than CUES, as labels rest on them.
+NAMED = {
+    "phone": r"(?i)(?<![a-z])(?:phone|tele?|call|fax|mobile|contact)[a-z]*[\x20:=#.]{1,3}$",
+    "ip": r"(?i)(?<![a-z])(?:ip|host|server)[a-z]*[\x20:=#.]{1,3}$",
+}
+#: Layouts of phone numbers: an area code and groups that end in four digits, or pairs.
+LAID_OUT = r"^(?:[0-9]{1,3}[\x20.-]?)?(?:\([0-9]{2,4}\)[\x20.-]?|[0-9]{2,4}[\x20./-])[0-9]{3,4}[\x20.-][0-9]{4}$|^0[1-9](?:[\x20.-][0-9]{2}){4}$"
 FEATURES = ("digits", "groups", "length", "signs", "cue", "left", "right")
 #: Distinct feature vectors of a kind: 7 * 6 * 6 * 8 * 2 * 3 * 3 values at most.
 MOST_CELLS = 36_288
 ROUNDS, DEPTH, RATE, LEAST = 24, 2, 0.3, 8
 PRECISION = 0.9
+#: Scores this near are one: SQL adds up rounded leaves.
+NEAR = 1e-6
 
 
 def _plus(text: Column) -> Column:
@@ -122,11 +136,34 @@ def _bin(x: Column, edges: list[int]) -> Column:
     return out
 
 
+def _around(text: Column, x: Column) -> tuple[Column, Column]:
+    """The characters before a candidate, twelve at most, and the one after it."""
+    left, right = F.substring(text, x["s"] - 11, F.lit(12)), F.substring(text, x["e"] + 1, F.lit(1))
+    return F.when(x["s"] > 11, left).otherwise(F.substring(text, F.lit(1), x["s"])), right
+
+
+def _evidence(kind: str, text: Column, x: Column) -> Column:
+    """Whether the strict rules accept all of a candidate once its disguise is undone.
+
+    That is [at] and [dot] of an address, other separators of a card, those of an octet row that a word names, and the
+    missing + of a phone number that a word names or that is laid out as one.
+    """
+    m = x["m"]
+    before, right = _around(text, x)
+    if kind == "email":
+        return F.regexp_replace(F.regexp_replace(m, AT, "@"), DOT, ".").rlike(ADDRESS)
+    alone = ~F.substring(before, -1, 1).rlike(r"[\p{L}0-9_]") & ~right.rlike(r"[\p{L}0-9_]")
+    if kind == "card":
+        return alone & _strict(kind, m)
+    if kind == "ip":
+        return alone & before.rlike(NAMED[kind]) & _strict(kind, F.translate(m, " -", ".."))
+    return alone & _strict(kind, m) & (before.rlike(NAMED[kind]) | m.rlike(LAID_OUT))
+
+
 def _features(text: Column, x: Column) -> dict[str, Column]:
     """Discrete features of a candidate; numbers that the strict rules test are binned coarsely."""
     m = x["m"]
-    left, right = F.substring(text, x["s"] - 11, F.lit(12)), F.substring(text, x["e"] + 1, F.lit(1))
-    before = F.when(x["s"] > 11, left).otherwise(F.substring(text, F.lit(1), x["s"]))
+    before, right = _around(text, x)
     touch = lambda c: F.when(c == "", 0).when(c.rlike(r"[\p{L}0-9_=/]"), 2).otherwise(1)
     return {
         "digits": _bin(F.length(_digits(m)), [0, 4, 7, 11, 15, 19]),
@@ -200,19 +237,22 @@ def grow(rows: list[tuple], g: list[float], h: list[float], depth: int) -> Tree:
     return Tree(f, value, grow(*part(True), depth - 1), grow(*part(False), depth - 1))
 
 
-def boost(cells: list[tuple[tuple, int, float, float]]) -> Model | None:
-    """A model from (feature vector, fold, accepted, all) cells: fold 0 calibrates, the others train."""
+def boost(cells: list[tuple[tuple, int, float, float, float, float]]) -> Model | None:
+    """A model from (feature vector, fold, accepted, all, open accepted, open) cells: fold 0 calibrates, the others train.
+
+    Open candidates are those that no base span touches.
+    """
     train = [c for c in cells if c[1] != 0] or cells
     up, n = sum(c[2] for c in train), sum(c[3] for c in train)
-    if not n or up in (0, n):
+    if not up:
         return None
     merged: dict[tuple, list[float]] = {}
-    for row, _, a, k in train:
+    for row, _, a, k, *_ in train:
         s = merged.setdefault(row, [0.0, 0.0])
         s[0] += a
         s[1] += k
     rows = sorted(merged)
-    model = Model(math.log(up / (n - up)), [], 0.0)
+    model = Model(math.log(up / max(n - up, 0.5)), [], 0.0)
     score = [model.bias] * len(rows)
     for _ in range(ROUNDS):
         p = [1 / (1 + math.exp(-s)) for s in score]
@@ -223,8 +263,9 @@ def boost(cells: list[tuple[tuple, int, float, float]]) -> Model | None:
             break
         model.trees.append(tree)
         score = [s + tree.of(r) for s, r in zip(score, rows)]
-    # the lowest score above which the calibration fold is precise enough; never under even odds
-    check = sorted(((model.of(row), a, k) for row, fold, a, k in cells if fold == 0 or not any(c[1] == 0 for c in cells)), reverse=True)
+    # the lowest score above which what could be added of the calibration fold is precise enough; never under even odds
+    held = any(fold == 0 and k for _, fold, _, _, _, k in cells)
+    check = sorted(((model.of(row), a, k) for row, fold, _, _, a, k in cells if k and (fold == 0 or not held)), reverse=True)
     right = total = 0.0
     least = math.inf
     for i, (s, a, k) in enumerate(check):
@@ -236,24 +277,27 @@ def boost(cells: list[tuple[tuple, int, float, float]]) -> Model | None:
 
 
 def _exploded(docs: DataFrame, text_col: str) -> DataFrame:
-    """One row per candidate with its kind, features, fold and weak label."""
+    """One row per candidate with its kind, features, fold, weak label and whether no base span touches it."""
     text = F.col("text")
     src = docs.select(_plus(F.col(text_col)).alias("text")).where(_has_digit(text))
     src = src.select(
         "text", F.array(*[F.struct(F.lit(k).alias("kind"), candidates(text, k).alias("c"), base_spans(text, k).alias("b")) for k in KINDS]).alias("kinds")
     )
-    rows = src.select("text", F.explode("kinds").alias("k")).where(F.size("k.c") > 0)
-    rows = rows.select("text", F.col("k.kind").alias("kind"), F.col("k.b").alias("b"), F.explode("k.c").alias("x"))
+    rows = src.select("text", F.flatten("kinds.b").alias("every"), F.explode("kinds").alias("k")).where(F.size("k.c") > 0)
+    rows = rows.select("text", "every", F.col("k.kind").alias("kind"), F.col("k.b").alias("b"), F.explode("k.c").alias("x"))
     good = F.exists("b", lambda b: (b["s"] >= F.col("x.s")) & (b["e"] <= F.col("x.e")))
-    return rows.select("kind", F.pmod(F.xxhash64("text"), F.lit(4)).alias("fold"), good.cast("int").alias("y"), *[c.cast("int").alias(n) for n, c in _features(text, F.col("x")).items()])
+    for k in KINDS:
+        good = F.when(good, True).when(F.col("kind") == k, _evidence(k, text, F.col("x"))).otherwise(good)
+    free = ~F.exists("every", lambda b: (b["s"] < F.col("x.e")) & (F.col("x.s") < b["e"]))
+    return rows.select("kind", F.pmod(F.xxhash64("text"), F.lit(4)).alias("fold"), good.cast("int").alias("y"), free.cast("int").alias("open"), *[c.cast("int").alias(n) for n, c in _features(text, F.col("x")).items()])
 
 
 def fit(docs: DataFrame, text_col: str = "text") -> dict[str, Model]:
-    """A model for each kind that has accepted and rejected candidates, from all documents."""
-    cells = _exploded(docs, text_col).groupBy("kind", "fold", *FEATURES).agg(F.sum("y").alias("y"), F.count("*").alias("n"))
+    """A model for each kind that has accepted candidates, from all documents."""
+    cells = _exploded(docs, text_col).groupBy("kind", "fold", *FEATURES).agg(F.sum("y").alias("y"), F.count("*").alias("n"), F.sum(F.col("y") * F.col("open")).alias("oy"), F.sum("open").alias("o"))
     found: dict[str, list] = {}
     for r in cells.collect():  # at most kinds x 4 folds x MOST_CELLS rows, by the features' values
-        found.setdefault(r["kind"], []).append((tuple(r[f] for f in FEATURES), r["fold"], float(r["y"]), float(r["n"])))
+        found.setdefault(r["kind"], []).append((tuple(r[f] for f in FEATURES), r["fold"], *[float(r[c]) for c in ("y", "n", "oy", "o")]))
     out = {}
     for kind in KINDS:
         model = boost(sorted(found.get(kind, [])))
@@ -272,15 +316,15 @@ def find(docs: DataFrame, models: dict[str, Model], text_col: str = "text") -> D
     src = src.withColumn("base", F.concat(*[label(f"cw_b{i}", k) for i, k in enumerate(KINDS)]))
     for i, k in enumerate(KINDS):
         m = models.get(k)
-        if m is None or not m.trees or math.isinf(m.least):
+        if m is None or math.isinf(m.least):
             src = src.withColumn(f"cw_a{i}", F.array().cast("array<struct<s:int,e:int,m:string>>"))
             continue
         features = F.transform(candidates(text, k), lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), x["m"].alias("m"), *[c.cast("int").alias(n) for n, c in _features(text, x).items()]))
-        total = repr(round(m.bias, 9)) + "D + " + " + ".join(f"({t.sql(['x.' + n for n in FEATURES])})" for t in m.trees)
+        total = " + ".join([repr(round(m.bias, 9)) + "D", *[f"({t.sql(['x.' + n for n in FEATURES])})" for t in m.trees]])
         src = src.withColumn(f"cw_c{i}", features)
         src = src.withColumn(
             f"cw_a{i}",
-            F.expr(f"filter(cw_c{i}, x -> not exists(base, b -> b.s < x.e and x.s < b.e) and ({total}) >= {round(m.least, 9)!r}D)"),
+            F.expr(f"filter(cw_c{i}, x -> not exists(base, b -> b.s < x.e and x.s < b.e) and ({total}) >= {round(m.least - NEAR, 9)!r}D)"),
         )
     src = src.withColumn("added", F.concat(*[label(f"cw_a{i}", k) for i, k in enumerate(KINDS)]))
     return src.drop(*[c for c in src.columns if c.startswith("cw_")])

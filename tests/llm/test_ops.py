@@ -111,6 +111,29 @@ def test_pii_trees_add_what_looks_alike(spark):
         assert abs(r["score"] - m.of(tuple(r[f] for f in pii.FEATURES))) < 1e-6
 
 
+def test_pii_adds_disguised_spans_however_many(spark):
+    mails = [f"write to user{i} {at} example{i % 7} {dot} org today" for i in range(150) for at, dot in (("[at]", "[dot]"), ("(at)", "(dot)"))]
+    phones = [f"reach me: 1 (555) 556-{i:04d} or so" for i in range(300)] + [f"phone: 1555556{i:04d} or so" for i in range(300)]
+    base = [f"mail a{i}@b.co or +1 (555) 555-{i:04d} end" for i in range(30)]
+    other = [f"serial {i * 7919 % 10**9:09d} made" for i in range(300)] + [f"x (at) {i}.{i + 30} there" for i in range(100)]
+    texts = mails + phones + base + other
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    models = pii.fit(df)
+    got = {r["doc_id"]: [(x["kind"], texts[r["doc_id"]][x["s"] : x["e"]]) for x in r["added"]] for r in pii.find(df, models).collect()}
+    for i, t in enumerate(texts):
+        if i < len(mails):
+            assert got[i] == [("email", t[9:-6])]
+        elif i < len(mails + phones):
+            assert got[i] == [("phone", t[t.index(": ") + 2 : -6])]
+        else:
+            assert got[i] == []
+    red = {r["text"] for r in pii.redact(df.where(f"doc_id < {len(mails + phones)}"), models).collect()}
+    assert red == {"write to <email> today", "reach me: <phone> or so", "phone: <phone> or so"}
+    # no base span and nothing rejected anywhere
+    alone = spark.createDataFrame(list(enumerate(mails)), "doc_id long, text string")
+    assert {r["text"] for r in pii.redact(alone, pii.fit(alone)).collect()} == {"write to <email> today"}
+
+
 def test_fingerprints(docs, nothing):
     got = iblt.fingerprint_edits(docs, parts=5).collect()
     table = [(-(1 << 63) if r[0] is None else r[0], r[0], r[1] or "") for r in rows()]
