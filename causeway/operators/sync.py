@@ -11,10 +11,13 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.frames import cut
 from .graph import changes_since, clock_at, dependents, edges, heads
 
 #: Fixed values of the protocol: bits an entry, probes.
 BITS, PROBES = 10, 7
+#: Rounds that move nothing after which a session ends: what a message asks for comes a round later.
+IDLE = 3
 
 
 def _word(h: Column, at: int) -> Column:
@@ -126,3 +129,39 @@ def receive(changes: DataFrame, queued: DataFrame, peer: Peer, message: Message)
     full = message.heads.join(both.withColumn("k", F.lit(1)), ["doc", "hash"], "left").groupBy("doc").agg(F.min(F.coalesce("k", F.lit(0))).alias("all"))
     peer.shared_heads = both.join(full.where("all = 1"), "doc", "left_semi").unionByName(old.join(full.where("all = 1"), "doc", "left_anti"))
     return applied, waiting
+
+
+def agree(a: DataFrame, qa: DataFrame, b: DataFrame, qb: DataFrame) -> bool:
+    """Whether two replicas have the same heads and neither has changes that wait."""
+    if not (qa.isEmpty() and qb.isEmpty()):
+        return False
+    x, y = heads(a).select("doc", "hash"), heads(b).select("doc", "hash")
+    return x.exceptAll(y).unionByName(y.exceptAll(x)).isEmpty()
+
+
+def session(a: DataFrame, qa: DataFrame, b: DataFrame, qb: DataFrame, pa: Peer | None = None, pb: Peer | None = None) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(a, queue of a, b, queue of b) after messages to and fro until the replicas agree.
+
+    Where both lack a change they can't: it ends when IDLE rounds have moved nothing, and what waits stays in the queues.
+    """
+    pa, pb = pa or Peer(), pb or Peer()
+    sizes, idle = None, 0
+    while idle < IDLE and not agree(a, qa, b, qb):
+        b, qb = [cut(x) for x in receive(b, qb, pb, _held(generate(a, qa, pa), pa))]
+        _hold(pb)
+        a, qa = [cut(x) for x in receive(a, qa, pa, _held(generate(b, qb, pb), pb))]
+        _hold(pa)
+        now = [x.count() for x in (a, qa, b, qb)]
+        sizes, idle = now, idle + 1 if now == sizes else 0
+    return a, qa, b, qb
+
+
+def _held(m: Message, sender: Peer) -> Message:
+    """The message without lineage, and so what its sender remembers of it."""
+    if sender.sent:
+        sender.sent[-1] = cut(sender.sent[-1])
+    return Message(cut(m.heads), cut(m.need), tuple(cut(x) for x in m.have), cut(m.changes))
+
+
+def _hold(peer: Peer) -> None:
+    peer.shared_heads = cut(peer.shared_heads)
