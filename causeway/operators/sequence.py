@@ -2,7 +2,7 @@
 
 The order of a list or text is the depth-first pre-order of its insert tree, siblings by descending id. Objects are many
 and mostly small, so each is ordered in one Arrow group; `order_by_doubling` orders objects too large for that with joins
-alone (an Euler tour and pointer doubling, logarithmic rounds).
+alone (an Euler tour and pointer doubling, logarithmic rounds). `placed` gives each object to the one that fits its size.
 """
 
 from __future__ import annotations
@@ -16,6 +16,8 @@ from ..functions.schema import op_id, text_width
 from .register import winners
 
 OBJ = ["doc", "obj_ctr", "obj_actor"]
+#: Elements of an object, deleted ones too, above which it is ordered by joins.
+LARGE = 4096
 
 
 def inserts(ops: DataFrame) -> DataFrame:
@@ -66,18 +68,29 @@ def order_by_doubling(ops: DataFrame, rounds: int = 64) -> DataFrame:
         F.when(F.col("sibling").isNotNull(), node(F.col("sibling"), True)).when(F.col("up") != root, node(F.col("up"), False)).alias("to"),
         F.lit(0).alias("d"),
     )
-    ptr = cut(enter.unionByName(leave))  # d: entries from `at` on before `to`
+    ptr = cut(enter.unionByName(leave).withColumn("lost", F.lit(False)))  # d: entries from `at` on before `to`; lost: it ends at a missing parent
     for _ in range(rounds):
         if ptr.where("to is not null").isEmpty():
             break
-        on = ptr.select(*OBJ, F.col("at").alias("to"), F.col("to").alias("next"), F.col("d").alias("more"))
-        ptr = cut(ptr.join(on, [*OBJ, "to"], "left").select(*OBJ, "at", F.col("next").alias("to"), (F.col("d") + F.coalesce("more", F.lit(0))).alias("d")))
-    here = ptr.where("at.down").select(*OBJ, F.col("at.id.ctr").alias("ctr"), F.col("at.id.actor").alias("actor"), "d")
+        on = ptr.select(*OBJ, F.col("at").alias("to"), F.col("to").alias("next"), F.col("d").alias("more"), F.col("lost").alias("gone"))
+        # what has come to an end isn't joined again
+        step = ptr.where("to is not null").join(on, [*OBJ, "to"], "left")
+        step = step.select(*OBJ, "at", F.col("next").alias("to"), (F.col("d") + F.coalesce("more", F.lit(0))).alias("d"), F.coalesce("gone", F.lit(True)).alias("lost"))
+        ptr = cut(step.unionByName(ptr.where("to is null").select(*step.columns)))
+    here = ptr.where("at.down and not lost").select(*OBJ, F.col("at.id.ctr").alias("ctr"), F.col("at.id.actor").alias("actor"), "d")
     total = here.groupBy(*OBJ).agg(F.max("d").alias("all"))
     keyed = [F.col(f"h.{c}").eqNullSafe(F.col(f"t.{c}")) for c in OBJ]
     return here.alias("h").join(total.alias("t"), keyed).select(*[f"h.{c}" for c in OBJ], "ctr", "actor", (F.col("all") - F.col("d")).cast("long").alias("pos"))
 
 
+def placed(ops: DataFrame) -> DataFrame:
+    """The same as `order`: objects of more than LARGE elements by joins, the others in Arrow groups."""
+    large = cut(inserts(ops).groupBy(*OBJ).count().where(F.col("count") > LARGE).select(*OBJ))
+    if large.isEmpty():
+        return order(ops)
+    return order(ops.join(large, OBJ, "left_anti")).unionByName(order_by_doubling(ops.join(large, OBJ, "left_semi")))
+
+
 def elements(ops: DataFrame, clock: DataFrame | None = None, encoding: str = "unicode") -> DataFrame:
     """The sequence view: visible elements with pos, index (0, 1, ..), start and width, and the winner's value.
 
@@ -85,7 +98,7 @@ def elements(ops: DataFrame, clock: DataFrame | None = None, encoding: str = "un
     """
     win = winners(ops, clock).where("key_str is null")
     own = win.withColumn("e_ctr", F.when(F.col("insert"), F.col("ctr")).otherwise(F.col("key_ctr"))).withColumn("e_actor", F.when(F.col("insert"), F.col("actor")).otherwise(F.col("key_actor")))
-    at = order(ops).select("doc", F.col("ctr").alias("e_ctr"), F.col("actor").alias("e_actor"), "pos")
+    at = placed(ops).select("doc", F.col("ctr").alias("e_ctr"), F.col("actor").alias("e_actor"), "pos")
     return positions(own.join(at, ["doc", "e_ctr", "e_actor"]), encoding)
 
 
@@ -126,7 +139,7 @@ def cursor_positions(ops: DataFrame, cursors: DataFrame, clock: DataFrame | None
     `start` and `end` are the ends.
     """
     view = elements(ops, clock)
-    at = order(ops)
+    at = placed(ops)
     shown = view.select("doc", F.col("e_ctr").alias("ctr"), F.col("e_actor").alias("actor"), F.lit(1).alias("shown"))
     w = Window.partitionBy(*OBJ).orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
     rank = at.join(shown, ["doc", "ctr", "actor"], "left").withColumn("position", F.coalesce(F.sum("shown").over(w), F.lit(0)))

@@ -378,6 +378,12 @@ def sequence_order_by_doubling(spark, sf_dir):
     return sequence.order_by_doubling(o.join(some, "doc", "left_semi")).select("doc", (F.col("ctr") - 1).alias("n"), "pos")
 
 
+@query(w(S.SQL_LISTS) + " select doc, n, pos from pos")
+def sequence_order_by_doubling_all(spark, sf_dir):
+    """All lists, where sequence_order_by_doubling and its SQL take some."""
+    return sequence.order_by_doubling(S.lists(spark, sf_dir)).select("doc", (F.col("ctr") - 1).alias("n"), "pos")
+
+
 @query(w(S.SQL_LISTS) + " select doc, n, index, cast(start as bigint) as start, length(text) as width from shown")
 def sequence_elements(spark, sf_dir):
     return sequence.elements(S.lists(spark, sf_dir)).select("doc", (F.col("e_ctr") - 1).alias("n"), "index", "start", "width")

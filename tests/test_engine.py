@@ -510,3 +510,23 @@ def test_sync_session_asks_for_what_a_filter_hides(spark, monkeypatch):
     b, qb = merge.apply_changes(df([]), df([1, 5]))
     a, qa, b, qb = sync.session(a, qa, b, qb)
     assert own(a) == own(b) == [1, 2, 5] and own(qa) == [4]
+
+
+def test_large_objects_are_ordered_by_joins(spark, monkeypatch):
+    from causeway.plans import queries as plans
+
+    o = plans.S.lists(spark, "/root/testdata/sf0.001").cache()
+    # an element whose parent is missing has no place, nor has its child
+    stray = o.where("insert and ctr = 4").withColumns({"ctr": F.lit(900), "key_ctr": F.lit(800)})
+    o = o.unionByName(stray).unionByName(stray.withColumns({"ctr": F.lit(901), "key_ctr": F.lit(900), "key_actor": F.col("actor")})).cache()
+    key = lambda df: sorted((r["doc"], r["ctr"], bytes(r["actor"]), r["pos"]) for r in df.collect())
+    want, view = key(sequence.order(o)), sorted(map(str, sequence.elements(o).collect()))
+    assert key(sequence.order_by_doubling(o)) == want
+    got = key(plans.sequence_order_by_doubling_all(spark, "/root/testdata/sf0.001").select("doc", (F.col("n") + 1).alias("ctr"), F.lit(b"").alias("actor"), "pos"))
+    assert got == [(d, c, b"", p) for d, c, _, p in want] and len({d for d, *_ in got}) == 20
+    seen, plain = [], sequence.order_by_doubling
+    monkeypatch.setattr(sequence, "LARGE", 4)
+    monkeypatch.setattr(sequence, "order_by_doubling", lambda ops: (seen.append({r["doc"] for r in ops.select("doc").distinct().collect()}), plain(ops))[1])
+    assert sorted(map(str, sequence.elements(o).collect())) == view
+    sizes = {r["doc"]: r["count"] for r in sequence.inserts(o).groupBy("doc").count().collect()}
+    assert seen == [{d for d, n in sizes.items() if n > 4}] and 0 < len(seen[0]) < len(sizes)
