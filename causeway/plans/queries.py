@@ -435,6 +435,14 @@ def cursor_positions(spark, sf_dir):
     return sequence.cursor_positions(o, c).select("doc", (F.col("ctr") - 1).alias("n"), "move", "position")
 
 
+@query()
+def cursor_positions_all(spark, sf_dir):
+    """A cursor of each move for every element, where cursor_positions and its SQL take some; tested by brute force."""
+    o = S.lists(spark, sf_dir)
+    c = o.where("insert").select("doc", "obj_ctr", "obj_actor", "ctr", "actor", F.explode(F.array(*map(F.lit, ("start", "end", "before", "after")))).alias("move"))
+    return sequence.cursor_positions(o, c).select("doc", (F.col("ctr") - 1).alias("n"), "move", "position")
+
+
 @query("select event_id as n, true as ok, case when event_id % 4 = 0 then 's' when event_id % 4 = 1 then 'e' when event_id % 4 = 2 then '-' || event_id || '@0' || user_id % 4 else event_id || '@0' || user_id % 4 end as text from events where event_id > 0")
 def cursor_codec(spark, sf_dir):
     e = S.table(spark, sf_dir, "events").where("event_id > 0").select("event_id", S.actor(F.col("user_id") % 4).alias("actor"))

@@ -530,3 +530,28 @@ def test_large_objects_are_ordered_by_joins(spark, monkeypatch):
     assert sorted(map(str, sequence.elements(o).collect())) == view
     sizes = {r["doc"]: r["count"] for r in sequence.inserts(o).groupBy("doc").count().collect()}
     assert seen == [{d for d, n in sizes.items() if n > 4}] and 0 < len(seen[0]) < len(sizes)
+
+
+def test_cursors_of_every_move_for_every_element(spark):
+    from causeway.plans import queries as plans
+
+    sf, turns = "/root/testdata/sf0.001", {}
+    for r in plans.S.table(spark, sf, "conversations").where("conv_id is not null and turn is not null").collect():
+        turns[r["conv_id"]] = turns.get(r["conv_id"], 0) + 1
+    want = set()
+    for conv, size in turns.items():
+        up = {n: max(n - 2 if n % 3 == 0 else n - 1, 0) for n in range(1, size + 1)}
+        order, stack = [], [0]
+        while stack:
+            n = stack.pop()
+            order += [n] if n else []
+            stack += sorted(m for m in up if up[m] == n)
+        before = {n: sum(m % 5 != 0 for m in order[:i]) for i, n in enumerate(order)}
+        for n in up:
+            at = n
+            while at and at % 5 == 0:
+                at = up[at]
+            moves = {"start": 0, "end": sum(m % 5 != 0 for m in up), "before": before[at] if at else 0, "after": before[n]}
+            want |= {(f"c{conv}", n, move, position) for move, position in moves.items()}
+    got = [tuple(r) for r in plans.cursor_positions_all(spark, sf).collect()]
+    assert len(got) == 4 * sum(turns.values()) and set(got) == want
