@@ -357,6 +357,21 @@ def test_jaccard_chains_over_groups(spark, monkeypatch):
         assert Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == brute_components(table, 3, num, 100)
 
 
+@pytest.mark.parametrize("forest", [1 << 20, 3])
+def test_labels_of_forests(spark, monkeypatch, forest):
+    monkeypatch.setattr(jaccard, "FOREST", forest)  # 3: rounds of stars, as a forest of more links than one task takes
+    monkeypatch.setattr(jaccard, "LINKS", 8)
+    rng = random.Random(2)
+    links = [(i, i + 1) for i in range(100, 160)] + [(7, i) for i in range(200, 240)] + [(rng.randrange(300, 400), rng.randrange(300, 400)) for _ in range(60)]
+    root = {x: x for e in links for x in e}
+    for _ in root:
+        for u, v in links:
+            root[u] = root[v] = min(root[u], root[v])
+    df = spark.createDataFrame(links, "u long, v long").repartition(4)
+    got = {r["node"]: r["label"] for r in jaccard.Join()._labels(df).collect()}
+    assert got == {x: m for x, m in root.items() if x != m}
+
+
 def test_language(spark, nothing):
     rng = random.Random(4)
     sound = {"aa": "bada gaba daga", "bb": "zizu wuzi zuwi", "cc": "ñeño ñoñe éñé"}
