@@ -1,13 +1,18 @@
 """Packing of token ids into windows of at most `window` ids by Karmarkar-Karp multiway differencing.
 
 Each task encodes its documents as they come. Full windows are cut from long documents; what is left is cut into pieces
-of at most `piece` ids, and a group of pieces of about GROUP windows is partitioned into k windows: every piece begins
-as a partial partition of its own, and the two partial partitions of largest imbalance are merged, largest sum onto
-smallest, until one is left. k starts at the fewest windows that could hold the ids and rises by one whenever a window
-exceeds the capacity. Groups are bounded, so a task's memory doesn't grow with its input, and nothing is shuffled.
+of at most `piece` ids, and a group of pieces of about GROUP windows is partitioned into k windows. Neighbouring short
+pieces that fit into `piece` ids together are one item. Every item begins as a partial partition of its own, and the two
+partial partitions of largest imbalance are merged, largest sum onto smallest, until one is left. k starts at the fewest
+windows that could hold the ids and rises by one whenever a window exceeds the capacity.
+
+Any two neighbouring items hold more than `piece` ids, so a group has at most 2 * GROUP * window / piece + 1 of them, each
+with two arrays of k numbers: 17 MB at 256 windows and pieces of 256 ids, however short the texts. A group also ends at
+PIECES pieces. So a task's memory doesn't grow with its input, and nothing is shuffled.
 
 Defined results: null text is the empty text (its end id alone); every row is packed, repeated rows too; sequence ids
-are unique but not consecutive; a table without rows gives no pieces; other columns of the input are not read.
+are unique but not consecutive; a text of any length is encoded whole, in bounded batches, and its ids are held until
+they are cut; a table without rows gives no pieces; other columns of the input are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -27,6 +32,8 @@ from .tokens import Encoder, crc, with_end
 
 #: Windows partitioned at once.
 GROUP = 256
+#: Pieces of a group, at most: about 200 bytes each while they wait.
+PIECES = 1 << 16
 
 
 def differencing(sizes: list[int], k: int) -> list[list[int]]:
@@ -75,6 +82,18 @@ def fit(sizes: list[int], window: int) -> list[list[int]]:
         k += 1
 
 
+def bundles(sizes: list[int], most: int) -> list[list[int]]:
+    """Runs of neighbouring items that hold at most `most` ids together; a larger item stands alone."""
+    out, room = [], most + 1
+    for i, size in enumerate(sizes):
+        if room + size > most:
+            out.append([])
+            room = 0
+        out[-1].append(i)
+        room += size
+    return out
+
+
 def pack(
     docs: DataFrame, path: str, end_id: int, window: int = 2048, piece: int = 256, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True
 ) -> DataFrame:
@@ -89,11 +108,13 @@ def pack(
 
         def close() -> None:
             nonlocal sequence, rest, room
-            for s in fit([len(r[2]) for r in rest], window):
+            sizes = [len(r[2]) for r in rest]
+            items = bundles(sizes, piece)
+            for s in fit([sum(sizes[i] for i in item) for item in items], window):
                 offset = 0
-                for i in s:
+                for i in (i for item in s for i in items[item]):
                     out.append((*rest[i], sequence, offset))
-                    offset += len(rest[i][2])
+                    offset += sizes[i]
                 sequence += 1
             rest, room = [], 0
 
@@ -127,7 +148,7 @@ def pack(
                     for at in range(full, len(doc), piece):
                         rest.append((ids_in[lo + j], at, doc[at : at + piece], len(doc)))
                     room += len(doc) - full
-                    if room >= GROUP * window:
+                    if room >= GROUP * window or len(rest) >= PIECES:
                         close()
                     if len(out) >= 512:
                         yield rows(id_type)

@@ -14,7 +14,8 @@ Base spans (strict rules) always stay; the method adds candidates of high score
 
 Defined results: null text is the empty text without spans; repeated rows get equal rows; without accepted candidates
 nothing is trained, and without rejected ones all candidates have the same score; if no candidate can be added base spans
-alone are returned; `redact` keeps all columns.
+alone are returned; texts of any length are searched whole; a table without rows gives none. `find` replaces columns named
+base and added and keeps all others, whatever their names; `redact` keeps all columns.
 """
 
 from __future__ import annotations
@@ -308,7 +309,8 @@ def fit(docs: DataFrame, text_col: str = "text") -> dict[str, Model]:
 
 def find(docs: DataFrame, models: dict[str, Model], text_col: str = "text") -> DataFrame:
     """All columns of docs and `base`, `added`: array<struct<kind, s, e>>, sorted by kind as listed, then start."""
-    src = docs.drop("base", "added").withColumn("cw_text", F.when(_has_digit(F.col(text_col)), F.col(text_col)).otherwise(""))
+    kept = [c for c in docs.columns if c.lower() not in ("base", "added")]
+    src = docs.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("cw_row"), F.when(_has_digit(F.col(f"`{text_col}`")), F.col(f"`{text_col}`")).otherwise("").alias("cw_text"))
     text = F.col("cw_text")
     for i, k in enumerate(KINDS):
         src = src.withColumn(f"cw_b{i}", base_spans(text, k))
@@ -327,7 +329,7 @@ def find(docs: DataFrame, models: dict[str, Model], text_col: str = "text") -> D
             F.expr(f"filter(cw_c{i}, x -> not exists(base, b -> b.s < x.e and x.s < b.e) and ({total}) >= {round(m.least - NEAR, 9)!r}D)"),
         )
     src = src.withColumn("added", F.concat(*[label(f"cw_a{i}", k) for i, k in enumerate(KINDS)]))
-    return src.drop(*[c for c in src.columns if c.startswith("cw_")])
+    return src.select(*[F.col(f"cw_row.`{c}`").alias(c) for c in kept], "base", "added")
 
 
 def listed(spans_of: Column) -> Column:

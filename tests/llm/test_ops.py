@@ -93,6 +93,9 @@ def test_pii_redact_and_models(spark, docs, nothing):
     df = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, base string")
     got = {r["doc_id"]: (r["text"], r["base"]) for r in pii.redact(df, {}).collect()}
     assert got == {0: ("mail <email> now <phone>", "x"), 1: (None, "x"), 2: ("none", "x"), 3: ("5 <email>", "x")}
+    clash = df.select("doc_id", "text", F.lit("kept").alias("cw_mine"), F.lit("kept").alias("cw_text"), F.lit("kept").alias("m"), F.lit("kept").alias("t"))
+    assert pii.find(clash, pii.fit(clash)).columns == [*clash.columns, "base", "added"]
+    assert {tuple(r)[2:6] for r in pii.find(clash, {}).collect()} == {("kept",) * 4} == {tuple(r)[2:] for r in pii.redact(clash, {}).collect()}
     assert pii.fit(nothing) == {} and pii.redact(nothing, {}).count() == 0
     assert pii.redact(docs, pii.fit(docs)).count() == len(rows())
 
@@ -302,6 +305,15 @@ def test_packing(docs, nothing):
     assert packing.pack(nothing, tokenizer_path(), 1).count() == 0
 
 
+def test_packing_of_many_short_texts(spark):
+    docs = spark.range(300_000).select(F.col("id").alias("doc_id"), F.lit("").alias("text"), F.lit(0).alias("start"))
+    got = packing.pack(docs, tokenizer_path(), 1, with_ids=False)
+    whole = got.groupBy("sequence_id").agg(F.sum("length").alias("n"), F.max("offset").alias("last")).collect()
+    assert sum(r["n"] for r in whole) == 300_000 and all(r["n"] == r["last"] + 1 <= 2048 for r in whole)
+    assert len(whole) <= 1.1 * 300_000 / 2048 + 8
+    assert packing.bundles([3, 3, 9, 1, 1, 1, 8], 6) == [[0, 1], [2], [3, 4, 5], [6]]
+
+
 def test_differencing():
     assert sorted(map(sorted, packing.differencing([8, 7, 6, 5, 4], 2))) in ([[0, 1], [2, 3, 4]], [[0, 2], [1, 3, 4]], [[0, 3], [1, 2, 4]], [[0, 1, 4], [2, 3]], [[0, 2, 4], [1, 3]])
     rng = random.Random(1)
