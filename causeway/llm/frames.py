@@ -8,16 +8,18 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, else (in tests) a temporary one."""
+    """The folder that driver and executors share: spark.checkpoint.dir, else, in local mode alone, a temporary one."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         found = spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="causeway-"))
         found = spark.sparkContext.getCheckpointDir()
     return found.rstrip("/")
@@ -89,3 +91,18 @@ def sampled(df: DataFrame, by: Column, n: int) -> DataFrame:
     if most is None:
         return df.limit(0)
     return df.where(h <= most).orderBy(h).limit(n)
+
+
+def sampled_groups(df: DataFrame, by: Column, group: str, sizes: dict, n: int) -> DataFrame:
+    """At most n rows of each group, those with the smallest hashes of `by`, in one pass; the hash is column cw_h.
+
+    sizes: rows of each group, by which a first bound on the hash is set: about 1.5 * n + 50 rows of a group are under it,
+    and the smallest n of them are taken. A group whose hashes are unevenly spread can give fewer than n.
+    """
+    bound = F.lit(-(1 << 63))
+    for value, size in sorted(sizes.items()):
+        share = min(1.0, (1.5 * n + 50) / max(1, size))
+        bound = F.when(F.col(group) == F.lit(value), F.lit(min((1 << 63) - 1, int(share * 2.0**64) - (1 << 63)))).otherwise(bound)
+    rows = df.withColumn("cw_h", F.xxhash64(by)).where(F.col("cw_h") <= bound)
+    place = F.row_number().over(Window.partitionBy(group).orderBy("cw_h"))
+    return rows.withColumn("cw_place", place).where(F.col("cw_place") <= n).drop("cw_place")

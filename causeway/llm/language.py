@@ -9,12 +9,18 @@ halved.
 
 What is broadcast is languages x centroids x DIMS floats: languages over MOST_LANGUAGES are an error, not a broadcast.
 
+Learning reads the texts twice: once for document frequencies and the number of rows of each language, once for the
+samples of all languages together, whose centroids are found where each language's sample meets.
+
 Defined results: `und` and score 0 for null texts, texts without a letter, or if nothing could be learnt; rows without a
-language are never learnt from; equal texts get equal results.
+language are never learnt from; equal texts get equal results, and ties go to the language that sorts first; texts of any
+length are read whole; a table without rows gives none; columns named lang_pred, score and rejected are replaced, all
+others kept.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import text as X
-from .frames import lean, sampled
+from .frames import lean, sampled_groups
 
 DIMS, CENTROIDS, ROUNDS = 4096, 4, 8
 #: Rows of each language that its centroids are fitted on, at most, and languages.
@@ -103,41 +109,41 @@ def fit(rows: DataFrame) -> Model:
     rows = rows.where("lang is not null and text is not null")
 
     def frequency(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, n = np.zeros(DIMS, np.int64), 0
+        total, n = np.zeros(DIMS, np.int64), Counter()
         for batch in batches:
             texts = X.texts_of(batch["text"])
+            n.update(batch["lang"].to_pylist())
             for lo, hi in _pieces(texts):
                 total += (counts(texts[lo:hi]) > 0).sum(axis=0)
-                n += hi - lo
-        if n:
-            yield pa.RecordBatch.from_pydict({"d": pa.array([*np.flatnonzero(total), DIMS], pa.int32()), "n": pa.array([*total[total > 0], n], pa.int64())})
-
-    df, n = np.zeros(DIMS + 1), 0
-    for r in rows.select("text").mapInArrow(lean(frequency), "d int, n long").groupBy("d").agg(F.sum("n").alias("n")).toLocalIterator():
-        df[r["d"]] = r["n"]
-    n = df[DIMS]
-    idf = np.log((n + 1) / (df[:DIMS] + 1)) + 0.05
-    langs = sorted(r["lang"] for r in rows.select("lang").distinct().limit(MOST_LANGUAGES + 1).collect())
-    if len(langs) > MOST_LANGUAGES:
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_pydict(
+            {"d": pa.array([*some.tolist(), *[DIMS] * len(n)], pa.int32()), "lang": pa.array([*[None] * len(some), *n], pa.string()), "n": pa.array([*total[some].tolist(), *n.values()], pa.int64())}
+        )
+
+    found = rows.select("text", "lang").mapInArrow(lean(frequency), "d int, lang string, n long").groupBy("d", "lang").agg(F.sum("n").alias("n"))
+    df, sizes = np.zeros(DIMS), {}
+    for r in found.limit(DIMS + MOST_LANGUAGES + 1).collect():
+        if r["d"] < DIMS:
+            df[r["d"]] = r["n"]
+        else:
+            sizes[r["lang"]] = r["n"]
+    if len(sizes) > MOST_LANGUAGES:
         raise ValueError(f"more than {MOST_LANGUAGES} languages: raise the bound knowingly, the centroids are broadcast")
-    idf32 = idf.astype(np.float32)
-
-    def weighted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = X.texts_of(batch["text"])
-            for lo, hi in _pieces(texts):
-                v = vectors(texts[lo:hi], idf32).astype(np.float16)
-                yield pa.RecordBatch.from_pydict({"v": pa.array([x.tobytes() for x in v], pa.binary())})
-
-    centroids, owner, least = [], [], []
-    for j, lang in enumerate(langs):
-        picked = sampled(rows.where(F.col("lang") == lang), F.col("id"), SAMPLE).select("text")
-        v = np.stack([np.frombuffer(r["v"], np.float16) for r in picked.mapInArrow(lean(weighted), "v binary").collect()]).astype(np.float32)
-        c = kmeans(v, CENTROIDS)
-        centroids.append(c)
-        owner += [j] * len(c)
-        least.append(float(np.quantile((v @ c.T).max(axis=1), 0.01)) * 0.7)
-    return Model(langs, idf, np.concatenate(centroids) if centroids else np.zeros((0, DIMS)), np.array(owner, int), np.array(least))
+    idf = (np.log((sum(sizes.values()) + 1) / (df + 1)) + 0.05).astype(np.float32)
+
+    def centroids(t: pa.Table) -> pa.Table:
+        t = t.sort_by([("cw_h", "ascending"), ("text", "ascending")])
+        texts = X.texts_of(t["text"])
+        v = np.concatenate([vectors(texts[lo:hi], idf).astype(np.float16) for lo, hi in _pieces(texts)]).astype(np.float32)
+        c = kmeans(v, CENTROIDS).astype(np.float32)
+        least = float(np.quantile((v @ c.T).max(axis=1), 0.01)) * 0.7
+        return pa.table({"lang": t["lang"][:1], "c": pa.array([c.tobytes()], pa.binary()), "least": pa.array([least])})
+
+    picked = sampled_groups(rows, F.struct("id", "text"), "lang", sizes, SAMPLE).select("lang", "text", "cw_h")
+    learnt = sorted(picked.groupBy("lang").applyInArrow(centroids, "lang string, c binary, least double").collect())  # a row a language
+    blocks = [np.frombuffer(r["c"], np.float32).reshape(-1, DIMS) for r in learnt]
+    owner = [j for j, c in enumerate(blocks) for _ in c]
+    return Model([r["lang"] for r in learnt], idf, np.concatenate(blocks) if blocks else np.zeros((0, DIMS)), np.array(owner, int), np.array([r["least"] for r in learnt]))
 
 
 def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:

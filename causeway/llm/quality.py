@@ -4,14 +4,16 @@ Features are indicators of n-grams of the whole text: hashed runs of three bytes
 words in which each word is told only by how far back the same word stood (one, two, three words, or further), which is
 what repetition looks like in any language. Their class log-count ratios come from all labelled training rows; a linear hinge-loss model on the scaled,
 length-normalised indicators is then fitted by dual coordinate descent on a bounded sample of labelled rows, and its
-margin becomes a probability by logistic regression on rows that the fit didn't see.
+margin becomes a probability by logistic regression on rows that the fit didn't see. The sample is bounded in rows (SAMPLE)
+and in bytes of features (SAMPLE_BYTES), as the driver holds it; learning reads the training rows twice.
 
 Everything but that sample covers all data. Counts are summed as blocks of the feature table; the model has a fixed size
 of SIZE floats, which bounds what is broadcast.
 
 Defined results: null text is the empty text, which has no features and gets the score of the bias alone; a label that
 isn't 0 or 1 is left out; several labels of one id count as 1 if at least half of them are; if only one class is
-labelled, or none, every score is that class's share (0.5 without labels).
+labelled, or none, every score is that class's share (0.5 without labels); equal texts get equal scores; texts of any
+length are read whole; a table without rows gives none; a column of the score's name is replaced, all others kept.
 """
 
 from __future__ import annotations
@@ -21,17 +23,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import text as X
-from .frames import lean, sampled
+from .frames import lean, sampled_groups
 
 U = np.uint64
 BITS = 17
 #: Labelled rows that the support vectors are fitted on, at most, and the share of them kept for calibration.
 SAMPLE, CALIBRATE = 8_000, 0.25
+#: Their features, 4 bytes each, half of it for either class.
+SAMPLE_BYTES = 128 << 20
 #: Labels whose ids may be broadcast (16 bytes each); more are joined by a shuffle.
 BROADCAST_ROWS = 2_000_000
 BLOCK = 1 << 12
@@ -194,7 +198,6 @@ def fit(rows: DataFrame) -> Model:
     # smoothed shares of each class's documents that have the feature
     ratio = np.log((counts[1] + 1) / (n[1] + 2)) - np.log((counts[0] + 1) / (n[0] + 2))
     # both classes are sampled, by the hash of the id
-    picked = [sampled(rows.where(F.col("y") == k), F.col("id"), SAMPLE // 2).select("text", "y", F.xxhash64("id").alias("h")) for k in (0, 1)]
 
     def indicators(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -204,9 +207,10 @@ def fit(rows: DataFrame) -> Model:
                 blobs = [feats[a:b].astype("<u4").tobytes() for a, b in zip(offs[:-1], offs[1:])]
                 yield pa.RecordBatch.from_arrays([pa.array(blobs, pa.binary()), batch["y"][lo:hi], batch["h"][lo:hi]], names=["f", "y", "h"])
 
-    got = []
-    for p in picked:
-        got += p.mapInArrow(lean(indicators), "f binary, y int, h long").collect()  # at most SAMPLE rows
+    picked = sampled_groups(rows, F.col("id"), "y", {k: int(n[k]) for k in (0, 1)}, SAMPLE // 2).select("text", "y", F.col("cw_h").alias("h"))
+    marked = picked.mapInArrow(lean(indicators), "f binary, y int, h long")
+    room = F.sum(F.octet_length("f")).over(Window.partitionBy("y").orderBy("h", "f").rowsBetween(Window.unboundedPreceding, 0))
+    got = marked.withColumn("room", room).where(F.col("room") <= SAMPLE_BYTES // 2).select("f", "y", "h").collect()  # at most SAMPLE rows and SAMPLE_BYTES
     got.sort(key=lambda r: (r["h"], r["y"], bytes(r["f"])))
     feats, y = [np.frombuffer(r["f"], "<u4").astype(np.int64) for r in got], np.array([2 * r["y"] - 1 for r in got])
     step = round(1 / CALIBRATE)
