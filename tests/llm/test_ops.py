@@ -1,11 +1,14 @@
 """The ten operators against brute force on a small table of odd rows."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -206,6 +209,54 @@ def test_quality(spark, nothing):
     none = quality.fit(quality.training_rows(docs, labels.where("quality = 9"), None, "doc_id", "text", "quality"))
     assert all(abs(r["score"] - 0.5) < 1e-9 for r in quality.score(docs, none).collect())
     assert quality.score(nothing, model).count() == 0
+    again = docs.where("doc_id < 3").withColumns({"score": F.lit("x"), "cw_h": F.lit("kept"), "y": F.lit("kept")})
+    assert [(r["cw_h"], r["y"], r["score"] == got[r["doc_id"]]) for r in quality.score(again, model).collect()] == [("kept", "kept", True)] * 3
+    # brute force: features of each text one by one, and the model's sum over them
+    texts = [r["text"] or "" for r in docs.collect()] + ["ab 12 ab 12 ab ab c\n" * 400, "x"]
+    for text, score in zip(texts, model.scores(*quality.features(pa.array(texts, pa.large_string())))):
+        f = sorted(brute_features(text))
+        margin = sum(float(model.weights[i]) for i in f) / math.sqrt(max(1, len(f))) + model.bias
+        assert abs(score - 1 / (1 + math.exp(-min(30, max(-30, model.a * margin + model.b))))) < 1e-4
+
+
+def brute_features(text):
+    b = bytes(48 if 48 <= c <= 57 else c for c in text.encode())
+    out = {((b[i] | b[i + 1] << 8 | b[i + 2] << 16) * 0x9E3779B1 & 0xFFFFFFFF) >> (32 - quality.BITS) for i in range(len(b) - 2)}
+    words = WORDS.findall(text)
+    code = [next((k for k in (1, 2, 3) if i >= k and words[i - k] == w), 0) for i, w in enumerate(words)]
+    for i in range(len(code) - quality.REPEAT + 1):
+        out.add((1 << quality.BITS) + sum(c << 2 * k for k, c in enumerate(code[i : i + quality.REPEAT])))
+    return out
+
+
+def test_dual_descent_closes_the_gap():
+    rng = np.random.default_rng(3)
+    rows = [np.unique(rng.integers(0, 40, 6)) for _ in range(120)]
+    y = np.where([r.sum() + 10 * rng.normal() > 90 for r in rows], 1, -1)
+    scale = rng.normal(size=40)
+    w, bias = quality.dual_descent(rows, y, scale, epochs=3000)
+    x = np.zeros((120, 41))
+    for i, r in enumerate(rows):
+        x[i, r] = scale[r] / math.sqrt(len(r))
+    x[:, 40] = 1
+    cost = np.where(y > 0, 0.5 / (y > 0).mean(), 0.5 / (y < 0).mean())
+    full = np.append(w, bias)
+    primal = lambda v: 0.5 * v @ v + (cost * np.maximum(0, 1 - y * (x @ v))).sum()
+    best, step = full.copy(), 0.05
+    for t in range(4000):  # no subgradient walk finds a better point
+        g = best - x.T @ (cost * y * (y * (x @ best) < 1))
+        nxt = best - step / (1 + t) ** 0.7 * g / max(1, np.linalg.norm(g))
+        best = nxt if primal(nxt) < primal(best) else best
+    assert primal(full) <= primal(best) * 1.005
+
+
+def test_quality_sample_is_bounded_in_bytes(spark, monkeypatch):
+    docs, labels = labelled(spark)
+    monkeypatch.setattr(quality, "SAMPLE_BYTES", 100_000)
+    model = quality.fit(quality.training_rows(docs, labels, None, "doc_id", "text", "quality"))
+    truth = {r["doc_id"]: r["quality"] for r in labels.where("quality in (0, 1)").collect()}
+    got = {r["doc_id"]: r["score"] for r in quality.score(docs, model).collect()}
+    assert sum((got[i] >= 0.3) == truth[i] for i in truth if i is not None and i in got) >= 0.9 * len(truth)
 
 
 @pytest.mark.parametrize("block", [1 << 20, 60])
@@ -234,6 +285,8 @@ def test_contamination(spark, docs, nothing, block, monkeypatch):
                     found |= names
         want[(given, len(w), len(hit), tuple(sorted(found)), bool(hit) and 20 * len(hit) >= len(w), rest[3])] += 1
     assert got == want and any(k[4] for k in want)
+    clash = docs.withColumns({c: F.lit("x") for c in ("key", "items", "n_words", "cw_items", "lo")})
+    assert set(containment.contamination(clash, bench).columns) == {*clash.columns, "n_hit", "contaminated"}
     assert containment.contamination(nothing, bench).count() == 0
     assert not any(r["contaminated"] for r in containment.contamination(docs, bench.limit(0)).collect())
 
@@ -369,6 +422,17 @@ def test_jaccard_chains_over_groups(spark, monkeypatch):
         assert Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == brute_components(table, 3, num, 100)
 
 
+def test_contamination_counts_blocks_apart(docs, spark, monkeypatch):
+    texts = sorted({r[1] for r in rows() if r[1] and len(r[1].split()) > 20})
+    bench = spark.createDataFrame([(str(i), " ".join(t.split()[3:40])) for i, t in enumerate(texts)], "item_id string, text string")
+    key = lambda: sorted(str(r) for r in containment.contamination(docs, bench).collect())
+    want = key()
+    monkeypatch.setattr(containment, "BLOCK_BYTES", 900)
+    assert key() == want
+    monkeypatch.setattr(containment, "VOCABULARY", 5)
+    assert key() == want
+
+
 @pytest.mark.parametrize("forest", [1 << 20, 3])
 def test_labels_of_forests(spark, monkeypatch, forest):
     monkeypatch.setattr(jaccard, "FOREST", forest)  # 3: rounds of stars, as a forest of more links than one task takes
@@ -399,6 +463,31 @@ def test_language(spark, nothing):
     assert all(r["lang_pred"] == r["truth"] and 0 <= r["score"] <= 1 for r in got) and len(got) == 303
     far = language.identify(spark.createDataFrame([(1, "qqq xxx kkk")], "doc_id long, text string"), model).first()
     assert far["rejected"] and far["lang_pred"] in sound
+    # brute force: dictionaries of trigrams, all centroids tried one by one
+    def vector(text):
+        b = bytes(32 if c < 128 and not chr(c).isalpha() else c + 32 if 65 <= c <= 90 else c for c in text.encode())
+        tf = Counter()
+        for i in range(len(b) - 2):
+            if not (b[i + 1] == 32 and 32 in (b[i], b[i + 2])):
+                tf[((b[i] | b[i + 1] << 8 | b[i + 2] << 16) * 0x9E3779B1 & 0xFFFFFFFF) >> 20] += 1
+        v = {d: math.log1p(n) * float(model.idf[d]) for d, n in tf.items()}
+        norm = math.sqrt(sum(x * x for x in v.values())) or 1.0
+        return {d: x / norm for d, x in v.items()}
+
+    seen = Counter()
+    learnt = [r for r in table if r[0] % 3 != 1 and r[2] and r[1] is not None]
+    for r in learnt:
+        seen.update(vector(r[1]).keys())
+    assert all(abs(model.idf[d] - math.log((len(learnt) + 1) / (n + 1)) - 0.05) < 1e-5 for d, n in seen.items())
+    assert [model.owner.tolist().count(j) for j in range(3)] == [language.CENTROIDS] * 3
+    for r in got:
+        v = vector(r["text"] or "")
+        best = [max(sum(x * float(c[d]) for d, x in v.items()) for c, o in zip(model.centroids, model.owner) if o == j) for j in range(3)]
+        if r["lang_pred"] != "und":
+            assert model.langs[best.index(max(best))] == r["lang_pred"]
+            assert abs(r["score"] * (2 if r["rejected"] else 1) - max(best) / sum(best)) < 1e-3
+    again = spark.createDataFrame([table[0], table[0]], df.schema).withColumn("score", F.lit("x")).withColumn("cw_h", F.lit("y"))
+    assert len({(r["lang_pred"], r["score"], r["cw_h"]) for r in language.identify(again, model).collect()}) == 1
     empty = language.fit(nothing.select(F.col("doc_id").alias("id"), "text", "lang"))
     assert {r["lang_pred"] for r in language.identify(df, empty).collect()} == {"und"}
     assert language.identify(nothing, model).count() == 0
@@ -446,6 +535,31 @@ def test_url_rules_hold_with_any_rarest_token(spark):
         assert got[0] == ("block", "bets") and got[1] == ("allow", None)
 
 
+def test_thousands_of_url_rules(spark):
+    rng = random.Random(8)
+    words = [f"{a}{b}" for a in ("ad", "bet", "win", "shop", "x1") for b in ("", "s", "9", "er")]
+
+    def piece(depth=0):
+        w = re.escape(rng.choice(words))
+        forms = [w, w, w + "s?", f"({w})?", rf"[{rng.choice(words)}]", rng.choice(["-", r"\.", "/", "_", ".", r"\w*", "$", "^", r"\b", "[^a-z0-9]", "[a-z]+", "(?i:A)"])]
+        if depth < 2:
+            forms += [f"(?:{pattern(depth + 1)}|{pattern(depth + 1)})", f"({pattern(depth + 1)}){rng.choice(['', '+', '*', '{2}', '?'])}"]
+        return rng.choice(forms)
+
+    def pattern(depth=0):
+        return "".join(rng.choice(["", "-", "/", r"\.", "[./]"]) + piece(depth) for _ in range(rng.randrange(1, 4))) + rng.choice(["", "/", r"\.", "$"])
+
+    rules = tuple(urls.Pattern("block", f"r{i}", pattern() + rng.choice(["", "|" + pattern()])) for i in range(3000))
+    index = urls.Rules((), rules, {w: rng.randrange(5) for w in words})
+    assert 100 < len(index.always) < 2900
+    for _ in range(150):
+        u = "http://" + "".join(rng.choice([*words, "-", ".", "/", "_", "A", "é"]) for _ in range(rng.randrange(1, 9)))
+        assert index.pattern(u) == next((p for p in rules if re.search(p.regex, u.lower())), None)
+    table = spark.createDataFrame([(p.verdict, p.name, p.regex, 1) for p in rules[:20]], "verdict string, name string, regex string, extra int")
+    assert set(urls.patterns_of(table)) == set(rules[:20])
+    assert urls.required(r"://([^/?#]*\.)?free-bets?\.") == ("free",) and urls.required("casino") == () and urls.required("(?i)/A-b/") == ()
+
+
 def test_pii_query_columns(spark, tmp_path):
     from causeway.llm.queries import op2_pii
 
