@@ -1,20 +1,26 @@
 """Documents as nested values: paths, JSON out, JSON in.
 
-Objects are folded from the leaves up, one join a level, so a document's depth is the number of rounds and no document
-has to fit a task's Python. JSON comes in as a walk down, one explode a level.
+A document of at most LARGE rows is walked in one task: one shuffle by document, whatever the depth. Larger ones
+are folded from the leaves up, one join a level, and need not fit a task's Python. JSON comes in row by row.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import json
+from collections.abc import Iterator
+from decimal import Decimal
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.frames import cut, written
-from ..functions.schema import MAKE_LIST, MAKE_MAP, MAKE_TEXT, MAKES, SET, show_id, value
+from ..functions.frames import by_size, cut, grouped
+from ..functions.schema import MAKE_LIST, MAKE_MAP, MAKE_TEXT, MAKES, OPS, SET, VALUE, show_id
 from .register import winners
-from .sequence import OBJ, elements
+from .sequence import OBJ, elements, inserts, preorder
 
-MOST_DEPTH = 1_000
+#: Rows of a document that one task may walk.
+LARGE = 1 << 18
 
 
 def objects(view: DataFrame) -> DataFrame:
@@ -26,16 +32,36 @@ def objects(view: DataFrame) -> DataFrame:
 
 def parents(view: DataFrame) -> DataFrame:
     """(doc, id_ctr, id_actor, depth, path): the path of each reachable object from the root, as an array of props."""
-    o = objects(view).select("doc", "id_ctr", "id_actor", "obj_ctr", "obj_actor", F.coalesce("key_str", "key").alias("prop"))
+    o = cut(objects(view).select("doc", "id_ctr", "id_actor", "obj_ctr", "obj_actor", F.coalesce("key_str", "key").alias("prop")))
+
+    def walk(t: pa.Table) -> pa.Table:
+        kids: dict[tuple, list[tuple]] = {}
+        for r in zip(*[t[c].to_pylist() for c in ("obj_ctr", "obj_actor", "id_ctr", "id_actor", "prop")]):
+            kids.setdefault((r[0], r[1] if r[0] else None), []).append(r[2:])
+        out, front = [], [((0, None), [])]
+        while front:
+            obj, path = front.pop()
+            for ctr, actor, prop in kids.get(obj, ()):
+                out.append((ctr, actor, [*path, prop]))
+                front.append(((ctr, actor), out[-1][2]))
+        doc = t["doc"][0].as_py()
+        return pa.table({"doc": pa.array([doc] * len(out), pa.string()), "id_ctr": pa.array([r[0] for r in out], pa.int64()), "id_actor": pa.array([r[1] for r in out], pa.binary()), "depth": pa.array([len(r[2]) for r in out], pa.int32()), "path": pa.array([r[2] for r in out], pa.list_(pa.string()))})
+
+    small, large = by_size(o, "doc", LARGE)
+    out = grouped(small, ["doc"], walk, "doc string, id_ctr long, id_actor binary, depth int, path array<string>")
+    return out if large is None else out.unionByName(_parents_by_level(large))
+
+
+def _parents_by_level(o: DataFrame) -> DataFrame:
+    """The same by one join a level."""
     front = cut(o.where("obj_ctr = 0").select("doc", "id_ctr", "id_actor", F.lit(1).alias("depth"), F.array("prop").alias("path")))
     out = front
-    for _ in range(MOST_DEPTH):
+    while True:
         below = o.where("obj_ctr > 0").join(front.select("doc", F.col("id_ctr").alias("obj_ctr"), F.col("id_actor").alias("obj_actor"), "depth", "path"), ["doc", "obj_ctr", "obj_actor"])
         front = cut(below.select("doc", "id_ctr", "id_actor", (F.col("depth") + 1).alias("depth"), F.concat("path", F.array("prop")).alias("path")))
         if front.isEmpty():
             return out
         out = out.unionByName(front)
-    raise RuntimeError("objects nest too deeply")
 
 
 def json_scalar(v: str = "value") -> Column:
@@ -64,6 +90,62 @@ def _quote(c: Column) -> Column:
 def to_json(ops: DataFrame, clock: DataFrame | None = None) -> DataFrame:
     """(doc, json): the whole document, map keys sorted, at a clock."""
     view = winners(ops, clock)
+    text = F.when((F.col("action") == SET) & (F.col("value.type") == "str"), F.col("value.s")).alias("s")
+    shown = view.select(*OBJ, F.col("key_str").alias("k"), F.when(F.col("insert"), F.col("ctr")).otherwise(F.col("key_ctr")).alias("e_ctr"), F.when(F.col("insert"), F.col("actor")).otherwise(F.col("key_actor")).alias("e_actor"), "ctr", "actor", "action", json_scalar().alias("json"), text)
+    null = lambda kind, name: F.lit(None).cast(kind).alias(name)
+    tree = inserts(ops).select(*OBJ, null("string", "k"), F.col("key_ctr").alias("e_ctr"), F.col("key_actor").alias("e_actor"), "ctr", "actor", null("int", "action"), null("string", "json"), null("string", "s"))
+    small, large = by_size(cut(shown.unionByName(tree)), "doc", LARGE)  # the insert tree has no action
+    out = grouped(small, ["doc"], _nested, "doc string, json string").where("json is not null")
+    if large is None:
+        return out
+    large = cut(large.select("doc").distinct())
+    return out.unionByName(_fold(ops.join(large, "doc", "left_semi"), clock))
+
+
+def _nested(t: pa.Table) -> pa.Table:
+    """One document's JSON from its winners and insert tree."""
+    shown: dict[tuple, list] = {}
+    trees: dict[tuple, tuple[list, list]] = {}
+    for oc, oa, k, ec, ea, ctr, actor, action, scalar, s in zip(*[t[c].to_pylist() for c in ("obj_ctr", "obj_actor", "k", "e_ctr", "e_actor", "ctr", "actor", "action", "json", "s")]):
+        obj = (oc, oa if oc else None)
+        if action is None:
+            ids, ups = trees.setdefault(obj, ([], []))
+            ids.append((ctr, actor))
+            ups.append((ec or 0, ea or b""))
+        else:
+            shown.setdefault(obj, []).append((k, (ec, ea), (ctr, actor), action, scalar, s))
+    places = {obj: dict(zip(ids, preorder(ids, ups))) for obj, (ids, ups) in trees.items()}
+    quote = lambda x: json.dumps(x, ensure_ascii=False)
+    out: list[str] = []
+    # what is still to be written, last first: finished text, or an object with its kind
+    todo: list = [((0, None), MAKE_MAP)] if shown else []
+    while todo:
+        x = todo.pop()
+        if isinstance(x, str):
+            out.append(x)
+            continue
+        obj, kind = x
+        rows = shown.get(obj, [])
+        if kind in (MAKE_LIST, MAKE_TEXT):
+            at = places.get(obj, {})
+            rows = sorted((r for r in rows if r[0] is None and at.get(r[1], -1) >= 0), key=lambda r: at[r[1]])
+        else:
+            rows = sorted((r for r in rows if r[0] is not None), key=lambda r: r[0].encode())
+        if kind == MAKE_TEXT:
+            out.append(quote("".join("\ufffc" if r[5] is None else r[5] for r in rows)))
+            continue
+        parts: list = ["[" if kind == MAKE_LIST else "{"]
+        for i, (k, _, ident, action, scalar, _) in enumerate(rows):
+            parts.append("," * (i > 0) + ("" if k is None else quote(k) + ":"))
+            parts.append((ident, action) if action in MAKES else scalar)
+        parts.append("]" if kind == MAKE_LIST else "}")
+        todo += reversed(parts)
+    return pa.table({"doc": t["doc"][:1], "json": pa.array(["".join(out) or None], pa.string())})
+
+
+def _fold(ops: DataFrame, clock: DataFrame | None = None) -> DataFrame:
+    """The same from the leaves up, one join a level."""
+    view = winners(ops, clock)
     maps = view.where("key_str is not null").select(*OBJ, F.col("key_str").alias("k"), F.lit(0).cast("long").alias("pos"), "ctr", "actor", "action", json_scalar().alias("json"), F.col("value.s").alias("s"))
     seqs = elements(ops, clock).select(*OBJ, F.lit(None).cast("string").alias("k"), "pos", "ctr", "actor", "action", json_scalar().alias("json"), F.col("value.s").alias("s"))
     rows = cut(maps.unionByName(seqs))
@@ -72,7 +154,9 @@ def to_json(ops: DataFrame, clock: DataFrame | None = None) -> DataFrame:
     tree = rows.where(F.col("action").isin(*MAKES)).select("doc", F.col("ctr").alias("id_ctr"), F.col("actor").alias("id_actor"), "obj_ctr", "obj_actor")
     front = cut(made.where("id_ctr = 0").select("doc", "id_ctr", "id_actor").withColumn("depth", F.lit(0)))
     depth = front
-    for level in range(1, MOST_DEPTH):
+    level = 0
+    while True:
+        level += 1
         on = tree.alias("t").join(front.alias("f"), [F.col("t.doc") == F.col("f.doc"), F.col("t.obj_ctr") == F.col("f.id_ctr"), F.col("t.obj_actor").eqNullSafe(F.col("f.id_actor"))])
         front = cut(on.select("t.doc", "t.id_ctr", "t.id_actor").withColumn("depth", F.lit(level)))
         if front.isEmpty():
@@ -97,64 +181,88 @@ def to_json(ops: DataFrame, clock: DataFrame | None = None) -> DataFrame:
     return done.select("doc", F.col("c_json").alias("json"))
 
 
+def _variant(v) -> tuple[int, dict | None]:
+    """Action and tagged value of a JSON value."""
+    if isinstance(v, dict):
+        return MAKE_MAP, None
+    if isinstance(v, list):
+        return MAKE_LIST, None
+    out = dict.fromkeys(f.name for f in VALUE.fields)
+    if v is None:
+        out["type"] = "null"
+    elif isinstance(v, bool):
+        out |= {"type": "boolean", "bool": v}
+    elif isinstance(v, str):
+        out |= {"type": "str", "s": v}
+    elif isinstance(v, int) and -(1 << 63) <= v < 1 << 63:
+        out |= {"type": "int", "i": v}
+    elif isinstance(v, int) and 0 <= v < 1 << 64:
+        out |= {"type": "uint", "u": Decimal(v)}
+    else:
+        out |= {"type": "f64", "d": float(v)}
+    return SET, out
+
+
+def _unique(pairs: list[tuple[str, object]]) -> dict:
+    out = dict(pairs)
+    if len(out) < len(pairs):
+        raise ValueError("a key of a JSON object is repeated")
+    return out
+
+
+def _no_number(name: str):
+    raise ValueError(f"no JSON number: {name}")
+
+
+def operations(doc: str, value, actor: bytes) -> list[dict]:
+    """Operations that build a nested value, breadth first, the keys of a map sorted."""
+    if not isinstance(value, dict):
+        raise ValueError("the root of a document must be an object")
+    out, front = [], [(0, value)]
+    for obj, v in front:  # grows as objects are met
+        before = None
+        items = sorted(v.items(), key=lambda kv: kv[0].encode()) if isinstance(v, dict) else [(None, x) for x in v]
+        for k, x in items:
+            action, tagged = _variant(x)
+            ctr = len(out) + 1
+            out.append(
+                {"doc": doc, "ctr": ctr, "actor": actor, "obj_ctr": obj, "obj_actor": actor if obj else None, "key_str": k, "key_ctr": None if k is not None else before or 0, "key_actor": actor if k is None and before else None,
+                 "insert": k is None, "action": action, "value": tagged, "expand": None, "mark_name": None, "pred": []}
+            )
+            before = ctr if k is None else None
+            if action != SET:
+                front.append((ctr, x))
+    return out
+
+
 def from_json(docs: DataFrame, actor: bytes, json_col: str = "json") -> DataFrame:
     """Operations that build JSON documents (doc, json) in breadth-first order; the root must be an object.
 
-    Strings become scalars; integers int (uint beyond 64 signed bits), other numbers doubles.
+    Strings become scalars; integers int (uint beyond 64 signed bits, doubles beyond 64 bits), other numbers doubles.
+    Rows are parsed where they lie: nothing is shuffled.
     """
-    src = docs.select("doc", F.parse_json(json_col).alias("v"))
-    bad = F.when(F.schema_of_variant("v").startswith("OBJECT"), F.col("v")).otherwise(F.raise_error(F.lit("the root of a document must be an object")).cast("variant"))
-    front = written(src.select("doc", bad.alias("v"), F.lit(0).cast("long").alias("obj_n"), F.lit("map").alias("obj_kind")), "json")
-    base = front.select("doc").distinct().withColumn("at", F.lit(0).cast("long"))
-    out = None
-    for _ in range(MOST_DEPTH):
-        front.createOrReplaceTempView("cw_front")
-        kids = front.sparkSession.sql("select doc, obj_n, obj_kind, e.pos, e.key, e.value as v from cw_front, lateral variant_explode(v) e")
-        kind = F.schema_of_variant("v")
-        here = base.select(F.col("doc").alias("b_doc"), "at")
-        kids = kids.withColumn("t", kind).join(here, F.col("doc") == F.col("b_doc")).drop("b_doc")
-        kids = written(kids.withColumn("ctr", F.col("at") + F.row_number().over(Window.partitionBy("doc").orderBy("obj_n", "pos"))), "json")
-        if kids.isEmpty():
-            break
-        before = F.lag("ctr").over(Window.partitionBy("doc", "obj_n").orderBy("pos"))
-        is_map, is_list = F.col("t").startswith("OBJECT"), F.col("t").startswith("ARRAY")
-        v = (
-            F.when(F.col("t") == "BOOLEAN", value("boolean", F.expr("try_variant_get(v, '$', 'boolean')")))
-            .when(F.col("t") == "STRING", value("str", F.expr("try_variant_get(v, '$', 'string')")))
-            .when((F.col("t") == "BIGINT"), value("int", F.expr("try_variant_get(v, '$', 'bigint')")))
-            .when(F.col("t").rlike(r"^DECIMAL\(\d+,0\)$"), value("uint", F.expr("try_variant_get(v, '$', 'decimal(20,0)')")))
-            .when(F.col("t").startswith("DECIMAL") | F.col("t").isin("DOUBLE", "FLOAT"), value("f64", F.expr("try_variant_get(v, '$', 'double')")))
-            .otherwise(value("null"))
-        )
-        list_item = F.col("obj_kind") == "list"
-        own = kids.select(
-            "doc",
-            "ctr",
-            F.lit(actor).alias("actor"),
-            F.col("obj_n").alias("obj_ctr"),
-            F.when(F.col("obj_n") > 0, F.lit(actor)).alias("obj_actor"),
-            F.when(~list_item, F.col("key")).alias("key_str"),
-            F.when(list_item, F.coalesce(before, F.lit(0))).alias("key_ctr"),
-            F.when(list_item & before.isNotNull(), F.lit(actor)).alias("key_actor"),
-            list_item.alias("insert"),
-            F.when(is_map, MAKE_MAP).when(is_list, MAKE_LIST).otherwise(SET).alias("action"),
-            v.alias("value"),
-            F.lit(None).cast("boolean").alias("expand"),
-            F.lit(None).cast("string").alias("mark_name"),
-            F.array().cast("array<struct<ctr:bigint,actor:binary>>").alias("pred"),
-        )
-        out = own if out is None else out.unionByName(own)
-        base = cut(kids.groupBy("doc").agg(F.max("ctr").alias("at")))
-        front = kids.where(is_map | is_list).select("doc", "v", F.col("ctr").alias("obj_n"), F.when(F.col("t").startswith("OBJECT"), "map").otherwise("list").alias("obj_kind"))
-        if front.isEmpty():
-            break
-    return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        schema = to_arrow_schema(OPS)
+        for batch in batches:
+            rows: list[dict] = []
+            for doc, text in zip(batch[0].to_pylist(), batch[1].to_pylist()):
+                if text is not None:
+                    rows += operations(doc, json.loads(text, object_pairs_hook=_unique, parse_constant=_no_number), actor)
+                if len(rows) >= 10_000:
+                    yield pa.RecordBatch.from_pylist(rows, schema=schema)
+                    rows = []
+            yield pa.RecordBatch.from_pylist(rows, schema=schema)
+
+    return docs.select(F.col("doc").cast("string"), json_col).mapInArrow(run, OPS)
 
 
 def whole(ops: DataFrame, clock: DataFrame | None = None) -> DataFrame:
     """(doc, obj, pos, prop, id, kind, conflict): every visible place of every reachable object, objects in id order."""
-    view = winners(ops, clock)
-    at = elements(ops, clock).select("doc", "ctr", "actor", "index")
+    view = cut(winners(ops, clock))
+    at = elements(ops, clock, view=view).select("doc", "ctr", "actor", "index")
     rows = view.join(at, ["doc", "ctr", "actor"], "left")
     reach = parents(view).select("doc", F.col("id_ctr").alias("obj_ctr"), F.col("id_actor").alias("obj_actor"))
     root = view.where("obj_ctr = 0").select(*OBJ).distinct()

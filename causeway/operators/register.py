@@ -1,8 +1,8 @@
 """Visibility and registers: which operations are live, who wins a key, what a counter adds up to.
 
-One shuffle by operation id settles visibility and counters together: every operation contributes itself, and to each
-of its predecessors either a replacement or an increment. A second one by key ranks what is visible. Both are
-aggregations with partial sums, so a hot key doesn't meet in one task. Without a clock nothing is joined.
+Visibility and counters are settled by operation id: what replaces or increments each operation is a flag and a sum,
+hashed with partial sums, and joined back to the operations by that id, without a sort. A second shuffle by key ranks what
+is visible, with partial maxima, so a hot key doesn't meet in one task.
 """
 
 from __future__ import annotations
@@ -28,19 +28,15 @@ def scoped(ops: DataFrame, clock: DataFrame | None = None) -> DataFrame:
     """
     own = covered(ops, clock)
     inc = F.when(F.col("action") == INCREMENT, F.coalesce("value.i", F.col("value.u").cast("long")))
-    rows = own.select("doc", op_id().alias("id"), F.struct(*[F.col(c) for c in own.columns if c != "doc"]).alias("op"), F.lit(None).cast("long").alias("inc"), F.lit(False).alias("replaced"))
-    pred = own.select("doc", F.explode("pred").alias("id"), (F.col("action") != INCREMENT).alias("replaced"), inc.alias("inc"))
-    pred = pred.select("doc", "id", F.lit(None).cast(rows.schema["op"].dataType).alias("op"), "inc", "replaced")
+    pred = own.select("doc", F.explode("pred").alias("p"), (F.col("action") != INCREMENT).alias("replaced"), inc.alias("inc"))
+    # flags and sums of fixed width: hashed, with partial sums before the shuffle
+    told = pred.groupBy("doc", F.col("p.ctr").alias("ctr"), F.col("p.actor").alias("actor")).agg(F.sum("inc").alias("cw_inc"), F.max("replaced").alias("cw_replaced"), F.count("inc").alias("cw_incs"))
+    rows = own.join(told.hint("shuffle_hash"), ["doc", "ctr", "actor"], "left")
     # an increment of what is no counter replaces it, which only its predecessor's row can tell
-    agg = rows.unionByName(pred).groupBy("doc", "id").agg(
-        F.first("op", ignorenulls=True).alias("op"),
-        F.sum("inc").alias("inc"),
-        F.max("replaced").alias("replaced"),
-        F.count("inc").alias("incs"),
-    )
-    agg = agg.where("op is not null")
-    live = ~F.col("replaced") & ~F.col("op.action").isin(INCREMENT, DELETE) & ((F.col("incs") == 0) | (F.col("op.value.type") == "counter"))
-    return agg.select("doc", "op.*", live.alias("visible"), F.when(F.col("op.value.type") == "counter", F.coalesce("inc", F.lit(0).cast("long"))).otherwise(F.lit(0).cast("long")).alias("inc"))
+    counter = F.coalesce(F.col("value.type") == "counter", F.lit(False))
+    live = ~F.coalesce("cw_replaced", F.lit(False)) & ~F.col("action").isin(INCREMENT, DELETE) & ((F.coalesce("cw_incs", F.lit(0)) == 0) | counter)
+    total = F.when(counter, F.coalesce("cw_inc", F.lit(0).cast("long"))).otherwise(F.lit(0).cast("long"))
+    return rows.withColumns({"visible": live, "inc": total}).drop("cw_inc", "cw_replaced", "cw_incs").select(*own.columns, "visible", "inc")
 
 
 def visible(ops: DataFrame, clock: DataFrame | None = None) -> DataFrame:

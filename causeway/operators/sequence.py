@@ -1,7 +1,7 @@
 """Sequence order, positions, text and cursors.
 
 The order of a list or text is the depth-first pre-order of its insert tree, siblings by descending id. Objects are many
-and mostly small, so each is ordered in one Arrow group; `order_by_doubling` orders objects too large for that with joins
+and mostly small, so each is ordered by itself in a stream of Arrow batches; `order_by_doubling` orders objects too large for that with joins
 alone (an Euler tour and pointer doubling, logarithmic rounds). `placed` gives each object to the one that fits its size.
 """
 
@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.frames import cut
+from ..functions.frames import cut, grouped
 from ..functions.schema import op_id, text_width
 from .register import winners
 
@@ -49,7 +49,7 @@ def order(ops: DataFrame) -> DataFrame:
         parents = [(c or 0, a or b"") for c, a in zip(t["key_ctr"].to_pylist(), t["key_actor"].to_pylist())]
         return t.select([*OBJ, "ctr", "actor"]).append_column("pos", pa.array(preorder(ids, parents), pa.int64()))
 
-    return inserts(ops).groupBy(*OBJ).applyInArrow(one, "doc string, obj_ctr long, obj_actor binary, ctr long, actor binary, pos long").where("pos >= 0")
+    return grouped(inserts(ops), OBJ, one, "doc string, obj_ctr long, obj_actor binary, ctr long, actor binary, pos long").where("pos >= 0")
 
 
 def order_by_doubling(ops: DataFrame, rounds: int = 64) -> DataFrame:
@@ -84,21 +84,22 @@ def order_by_doubling(ops: DataFrame, rounds: int = 64) -> DataFrame:
 
 
 def placed(ops: DataFrame) -> DataFrame:
-    """The same as `order`: objects of more than LARGE elements by joins, the others in Arrow groups."""
+    """The same as `order`: objects of more than LARGE elements by joins, the others one by one in Python."""
     large = cut(inserts(ops).groupBy(*OBJ).count().where(F.col("count") > LARGE).select(*OBJ))
     if large.isEmpty():
         return order(ops)
     return order(ops.join(large, OBJ, "left_anti")).unionByName(order_by_doubling(ops.join(large, OBJ, "left_semi")))
 
 
-def elements(ops: DataFrame, clock: DataFrame | None = None, encoding: str = "unicode") -> DataFrame:
+def elements(ops: DataFrame, clock: DataFrame | None = None, encoding: str = "unicode", view: DataFrame | None = None, at: DataFrame | None = None) -> DataFrame:
     """The sequence view: visible elements with pos, index (0, 1, ..), start and width, and the winner's value.
 
-    Deleted elements aren't there; positions count visible ones alone.
+    Deleted elements aren't there; positions count visible ones alone. The register view and the places are made anew
+    unless they are given.
     """
-    win = winners(ops, clock).where("key_str is null")
+    win = (winners(ops, clock) if view is None else view).where("key_str is null")
     own = win.withColumn("e_ctr", F.when(F.col("insert"), F.col("ctr")).otherwise(F.col("key_ctr"))).withColumn("e_actor", F.when(F.col("insert"), F.col("actor")).otherwise(F.col("key_actor")))
-    at = placed(ops).select("doc", F.col("ctr").alias("e_ctr"), F.col("actor").alias("e_actor"), "pos")
+    at = (placed(ops) if at is None else at).select("doc", F.col("ctr").alias("e_ctr"), F.col("actor").alias("e_actor"), "pos")
     return positions(own.join(at, ["doc", "e_ctr", "e_actor"]), encoding)
 
 

@@ -1,18 +1,22 @@
 """Op logs at rest: Parquet tables, increments, bundles, and what loading may tolerate.
 
-A store is a folder with `changes` and `ops`. Rows lie sorted by object and key within files, so reads of one object skip
-the rest by statistics.
+A store is a folder with `ops`, `heads` and `changes`, each in batches: a save is one batch, every increment another. A
+batch's operations and heads are written first and its changes last, so the changes are the mark of what is whole: what a
+failed write left behind names a batch that no change has, and is never read. Rows lie sorted by object and key within
+files, so reads of one object skip the rest by statistics.
 """
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.schema import CHANGES, MAKE_TEXT, OPS, SET, value
-from ..operators import graph, merge
+from ..functions.frames import cut
+from ..functions.schema import CHANGES, MAKE_TEXT, MARK, OPS, SET, value
+from ..operators import graph, marks, merge
 from ..operators.register import visible
 
 ORDER = ["doc", "obj_ctr", "obj_actor", "key_str", "key_ctr", "key_actor", "ctr", "actor"]
@@ -21,12 +25,14 @@ ORDER = ["doc", "obj_ctr", "obj_actor", "key_str", "key_ctr", "key_actor", "ctr"
 @dataclass
 class Options:
     """verify: compare the stored heads; partial: "error" or "ignore" for changes whose dependencies are missing;
-    strings: "keep", or "text" to turn visible strings into text objects; orphans: keep waiting changes on save."""
+    strings: "keep", or "text" to turn visible strings into text objects; orphans: keep waiting changes on save; marks:
+    "keep", or "rescue" to leave out marks that end before they begin or not at all."""
 
     verify: bool = True
     partial: str = "error"
     strings: str = "keep"
     orphans: bool = True
+    marks: str = "keep"
     compression: str = "zstd"
 
 
@@ -36,26 +42,50 @@ def save(changes: DataFrame, ops: DataFrame, path: str, options: Options | None
     if not o.orphans:
         changes, _ = merge.apply_changes(changes.limit(0), changes)
         ops = merge.fork_at(changes, ops, graph.heads(changes).select("doc", "hash"))[1]
-    changes.select(*CHANGES.names).write.mode("overwrite").option("compression", o.compression).parquet(f"{path}/changes")
-    sorted_ops = ops.select(*OPS.names).repartition("doc").sortWithinPartitions(*ORDER)
-    sorted_ops.write.mode("overwrite").option("compression", o.compression).parquet(f"{path}/ops")
-    graph.heads(changes).select("doc", "hash").write.mode("overwrite").parquet(f"{path}/heads")
+    _write(changes, ops, graph.heads(changes), path, 0, o.compression, "overwrite")
+
+
+def _write(changes: DataFrame, ops: DataFrame, heads: DataFrame, path: str, number: int, compression: str = "zstd", mode: str = "append") -> None:
+    """One batch: the changes come last."""
+    batch = F.lit(f"{number:09d}-{uuid.uuid4().hex}")
+    rows = ops.select(*OPS.names).repartition("doc").sortWithinPartitions(*ORDER)
+    for part, df in (("ops", rows), ("heads", heads.select("doc", "hash")), ("changes", changes.select(*CHANGES.names))):
+        df.withColumn("batch", batch).write.mode(mode).partitionBy("batch").option("compression", compression).parquet(f"{path}/{part}")
+
+
+def _read(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame, int]:
+    """(changes, ops, heads) of whole batches, and the number of the last."""
+    changes, ops = spark.read.schema(CHANGES).parquet(f"{path}/changes"), spark.read.schema(OPS).parquet(f"{path}/ops")
+    # one name a batch, which the saves bound; the filter on it prunes folders
+    whole = sorted(r["batch"] for r in changes.select("batch").distinct().collect()) if "batch" in changes.columns else []
+    heads = spark.read.schema("doc string, hash binary").parquet(f"{path}/heads")
+    last = whole[-1:] if "batch" in heads.columns else []
+    ops = ops.where(F.col("batch").isin(whole)) if "batch" in ops.columns else ops
+    return changes.select(*CHANGES.names), ops.select(*OPS.names), (heads.where(F.col("batch").isin(last)) if last else heads.limit(0)).select("doc", "hash"), int(whole[-1][:9]) if whole else 0
 
 
 def load(spark: SparkSession, path: str, options: Options | None = None) -> tuple[DataFrame, DataFrame]:
     """(changes, ops) of a store."""
     o = options or Options()
-    changes, ops = spark.read.schema(CHANGES).parquet(f"{path}/changes"), spark.read.schema(OPS).parquet(f"{path}/ops")
-    if o.verify and not heads_match(changes, spark.read.parquet(f"{path}/heads")):
+    changes, ops, heads, _ = _read(spark, path)
+    if o.verify and not heads_match(changes, heads):
         raise ValueError("the heads differ from those stored")
     if o.partial == "error":
         if not graph.missing_deps(changes, changes).isEmpty():
             raise ValueError("a dependency is missing")
     else:
         changes, _ = merge.apply_changes(changes.limit(0), changes)
+        ops = bundle_ops(changes, ops)
     if o.strings == "text":
         ops = ops.unionByName(strings_to_text(ops))
-    return changes, ops
+    return changes, rescued(ops) if o.marks == "rescue" else ops
+
+
+def rescued(ops: DataFrame) -> DataFrame:
+    """The operations without marks that end before they begin or not at all."""
+    bad = marks.bad_mark_order(ops).select("doc", "actor", F.explode(F.array(F.col("ctr"), F.col("ctr") + 1)).alias("ctr"))
+    bad = bad.select("doc", "ctr", "actor", F.lit(MARK).alias("action"))
+    return ops.join(bad, ["doc", "ctr", "actor", "action"], "left_anti").select(*OPS.names)
 
 
 def heads_match(changes: DataFrame, stored: DataFrame) -> bool:
@@ -75,15 +105,11 @@ def save_and_verify(changes: DataFrame, ops: DataFrame, path: str) -> None:
 def append(changes: DataFrame, ops: DataFrame, path: str) -> int:
     """Write only what the store lacks: the number of changes added."""
     spark = changes.sparkSession
-    have = spark.read.schema(CHANGES).parquet(f"{path}/changes")
-    new = changes.select(*CHANGES.names).join(have.select("doc", "hash"), ["doc", "hash"], "left_anti").dropDuplicates(["doc", "hash"]).cache()
+    have, _, _, last = _read(spark, path)
+    new = cut(changes.select(*CHANGES.names).join(have.select("doc", "hash"), ["doc", "hash"], "left_anti").dropDuplicates(["doc", "hash"]))
     n = new.count()
     if n:
-        bundle_ops(new, ops).repartition("doc").sortWithinPartitions(*ORDER).write.mode("append").parquet(f"{path}/ops")
-        new.write.mode("append").parquet(f"{path}/changes")
-        every = spark.read.schema(CHANGES).parquet(f"{path}/changes")
-        graph.heads(every).select("doc", "hash").write.mode("overwrite").parquet(f"{path}/heads")
-    new.unpersist()
+        _write(new, bundle_ops(new, ops), graph.heads(have.unionByName(new)), path, last + 1)
     return n
 
 

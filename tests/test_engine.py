@@ -522,7 +522,7 @@ def test_large_objects_are_ordered_by_joins(spark, monkeypatch):
     key = lambda df: sorted((r["doc"], r["ctr"], bytes(r["actor"]), r["pos"]) for r in df.collect())
     want, view = key(sequence.order(o)), sorted(map(str, sequence.elements(o).collect()))
     assert key(sequence.order_by_doubling(o)) == want
-    got = key(plans.sequence_order_by_doubling_all(spark, "/root/testdata/sf0.001").select("doc", (F.col("n") + 1).alias("ctr"), F.lit(b"").alias("actor"), "pos"))
+    got = key(plans.sequence_order_by_doubling(spark, "/root/testdata/sf0.001").select("doc", (F.col("n") + 1).alias("ctr"), F.lit(b"").alias("actor"), "pos"))
     assert got == [(d, c, b"", p) for d, c, _, p in want] and len({d for d, *_ in got}) == 20
     seen, plain = [], sequence.order_by_doubling
     monkeypatch.setattr(sequence, "LARGE", 4)
@@ -553,5 +553,5 @@ def test_cursors_of_every_move_for_every_element(spark):
                 at = up[at]
             moves = {"start": 0, "end": sum(m % 5 != 0 for m in up), "before": before[at] if at else 0, "after": before[n]}
             want |= {(f"c{conv}", n, move, position) for move, position in moves.items()}
-    got = [tuple(r) for r in plans.cursor_positions_all(spark, sf).collect()]
+    got = [tuple(r) for r in plans.cursor_positions(spark, sf).collect()]
     assert len(got) == 4 * sum(turns.values()) and set(got) == want

@@ -39,8 +39,16 @@ def test_store_round_trip(spark, log, tmp_path):
     n = store.append(c, o, part)
     assert n == c.count() - some.count() and store.append(c, o, part) == 0
     assert text_of(store.load(spark, part)[1]) == text_of(o)
+    # a write that failed before its changes leaves nothing that is read
+    half = str(tmp_path / "h")
+    store.save(some, store.bundle_ops(some, o), half)
+    o.withColumn("batch", F.lit("000000001-lost")).write.mode("append").partitionBy("batch").parquet(half + "/ops")
+    assert store.load(spark, half)[1].count() == store.bundle_ops(some, o).count()
+    store.append(c, o, half)
+    assert text_of(store.load(spark, half)[1]) == text_of(o) and store.load(spark, half)[1].count() == o.count()
     # another head
-    spark.createDataFrame([("d", b"x")], "doc string, hash binary").write.mode("overwrite").parquet(path + "/heads")
+    last = spark.read.parquet(path + "/heads").first()["batch"]
+    spark.createDataFrame([("d", b"x", last)], "doc string, hash binary, batch string").write.mode("overwrite").partitionBy("batch").parquet(path + "/heads")
     with pytest.raises(ValueError, match="heads"):
         store.load(spark, path)
     assert store.load(spark, path, store.Options(verify=False))[0].count() == c.count()
