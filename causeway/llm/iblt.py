@@ -14,7 +14,8 @@ Texts are range-partitioned by id once, each range also getting the first row of
 successor without a global sort in one task.
 
 Defined results: null text is the empty text; null ids come before all others, equal ids are ordered by xxhash64 of the
-text; a lone document is its own successor; other columns of the input are not read.
+text; a lone document is its own successor; repeated rows are each other's successors; texts of any length are sketched
+whole; other columns of the input are not read, whatever their names; a table without rows gives none.
 """
 
 from __future__ import annotations

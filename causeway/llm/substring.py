@@ -8,7 +8,9 @@ a passage that a third of all documents share sends one row a partition. Windows
 of four words, so neighbours travel together and their positions cost about a byte.
 
 Defined results: null text has no words; a null id counts as larger than all others; equal ids never remove from each
-other, whatever their texts; repeated rows give repeated results; other columns of the input are not read.
+other, whatever their texts; repeated rows give repeated results; texts of any length are read whole, cut into runs of
+windows that are settled in turn; other columns of the input are not read, whatever their names; a table without rows
+gives none.
 """
 
 from __future__ import annotations

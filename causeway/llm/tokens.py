@@ -14,7 +14,8 @@ with an index entry (little-endian int64) for each document: doc_id, ids before
 offset, blob length. Ids are stored as uint16 if the vocabulary allows, else uint32.
 
 Defined results: null text is the empty text (its end id alone); documents are in ascending doc_id order, null ids
-first, equal ids by xxhash64 of the text; repeated rows are all kept; a table without rows gives no files and no rows.
+first, equal ids by xxhash64 of the text; repeated rows are all kept; texts of any length are encoded whole;
+other columns of the input are not read; a table without rows gives no files and no rows.
 """
 
 from __future__ import annotations
