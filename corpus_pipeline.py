@@ -21,7 +21,12 @@ WINDOW, END_ID = 2048, 1
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier, learnt from all labelled documents, doesn't reject."""
+    """Documents that the classifier, learnt from all labelled documents, doesn't reject.
+
+    Defined results: a null text is judged as the empty one; rows without an id are judged but never learnt from; repeated
+    rows are all kept or all go; long texts are judged whole; without labels of both classes every score is the class's
+    share, 0.5 without any, so nothing goes unless all labels say so; no rows give none.
+    """
     model = quality.fit(quality.training_rows(docs, read(spark, sf_dir, "labels"), None, "doc_id", "text", "quality"))
     return quality.score(docs, model, name="cw_score").where(F.col("cw_score") >= LEAST_QUALITY).select(*docs.columns)
 
@@ -29,7 +34,8 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component of near duplicates: the one with the smallest id.
 
-    Documents without an id stay; rows that repeat an id stay together.
+    Defined results: documents without an id, and null and empty texts, stay; rows that repeat an id stay or go together;
+    long texts are compared whole; no rows give none; columns of any name are kept.
     """
     found = jaccard.components(docs.select("doc_id", "text"), n=WORDS, num=NUM, den=DEN)
     gone = found.where("component_id < doc_id").select("doc_id").distinct()
@@ -37,19 +43,31 @@ def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that benchmark items don't contaminate."""
+    """Documents that benchmark items don't contaminate.
+
+    Defined results: null and empty texts stay; repeated rows stay or go together; long texts are scanned whole; with no
+    items, or only null or empty ones, all stay; no rows give none.
+    """
     out = containment.contamination(docs, read(spark, sf_dir, "benchmark"))
     return out.where(~F.col("contaminated")).select(*docs.columns)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, each span of personal data replaced by its kind; n_chars follows the text."""
+    """All documents, each span of personal data replaced by its kind; n_chars follows the text.
+
+    Defined results: a null text stays null and keeps its n_chars; empty texts and texts without spans stay as they are;
+    repeated rows become equal rows; long texts are searched whole; no rows give none; columns of any name are kept.
+    """
     out = pii.redact(docs, pii.fit(docs))
     return out.withColumn("n_chars", F.when(F.col("text").isNotNull(), F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of all documents in sequences of at most 2048: one row per piece."""
+    """Token ids of all documents in sequences of at most 2048: one row per piece.
+
+    Defined results: null and empty texts are their end id alone; repeated rows are packed each; long texts fill whole
+    sequences first; rows without an id are packed under a null id; no rows give no pieces.
+    """
     return packing.pack(docs, tokenizer_path(), end_id=END_ID, window=WINDOW)
 
 
