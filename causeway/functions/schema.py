@@ -133,3 +133,50 @@ def parse_cursor(text: Column) -> Column:
     at = F.when(text.isin("s", "e"), none).when(text.rlike(r"^-?\d+@"), own)
     move = F.when(text == "s", "start").when(text == "e", "end").when(text.startswith("-"), "before").otherwise("after")
     return F.when(at.isNotNull(), F.struct(at["ctr"].alias("ctr"), at["actor"].alias("actor"), move.alias("move")))
+
+
+#: Fixed values of a cursor's bytes: version, kinds, moves.
+CURSOR_START, CURSOR_END, CURSOR_AT = "0101", "0102", "0103"
+CURSOR_BEFORE, CURSOR_AFTER = "01", "02"
+_ULEB = "(?:[89A-F][0-9A-F])*[0-7][0-9A-F]"
+
+
+def _uleb_hex(n: Column) -> Column:
+    """Seven bits a byte, low first, as hex; n is not negative."""
+    parts = []
+    for i in range(9):
+        more = F.shiftrightunsigned(n, 7 * (i + 1)) > 0 if i < 8 else F.lit(False)
+        byte = F.shiftrightunsigned(n, 7 * i).bitwiseAND(F.lit(127).cast("long")) + F.when(more, 128).otherwise(0)
+        own = F.lpad(F.hex(byte), 2, "0")
+        parts.append(own if i == 0 else F.when(F.shiftrightunsigned(n, 7 * i) > 0, own).otherwise(""))
+    return F.concat(*parts)
+
+
+def _uleb_of_hex(h: Column) -> Column:
+    """The number that those bytes stand for; null without any."""
+    bytes_of = F.transform(F.sequence(F.lit(0), (F.length(h) / 2).cast("int") - 1), lambda i: F.conv(F.substring(h, (2 * i + 1).cast("int"), F.lit(2)), 16, 10).cast("long").bitwiseAND(F.lit(127).cast("long")))
+    return F.when(F.length(h).between(2, 18), F.aggregate(F.reverse(bytes_of), F.lit(0).cast("long"), lambda n, b: n * 128 + b))
+
+
+def cursor_bytes(ctr: Column, actor: Column, move: Column) -> Column:
+    """A cursor as bytes: version, kind and, for one at an element, its length-prefixed actor, counter and move."""
+    at = F.concat(F.lit(CURSOR_AT), _uleb_hex(F.octet_length(actor).cast("long")), F.hex(actor), _uleb_hex(ctr), F.when(move == "before", CURSOR_BEFORE).otherwise(CURSOR_AFTER))
+    return F.unhex(F.when(move == "start", CURSOR_START).when(move == "end", CURSOR_END).otherwise(at))
+
+
+def parse_cursor_bytes(data: Column) -> Column:
+    """struct(ctr, actor, move) of a cursor's bytes; null if they aren't one."""
+    h = F.hex(data)
+    size = F.regexp_extract(h, f"^{CURSOR_AT}({_ULEB})", 1)
+    n = F.coalesce(_uleb_of_hex(size), F.lit(0)).cast("int") * 2
+    rest = F.substring(h, F.length(size) + 5, F.length(h))
+    actor, tail = F.substring(rest, F.lit(1), n), F.substring(rest, n + 1, F.length(h))
+    form = f"^({_ULEB})({CURSOR_BEFORE}|{CURSOR_AFTER})$"
+    ctr, move = _uleb_of_hex(F.regexp_extract(tail, form, 1)), F.regexp_extract(tail, form, 2)
+    whole = (size != "") & (F.length(actor) == n) & (n > 0) & ctr.isNotNull()
+    none = [F.lit(None).cast("long").alias("ctr"), F.lit(None).cast("binary").alias("actor")]
+    return (
+        F.when(h == CURSOR_START, F.struct(*none, F.lit("start").alias("move")))
+        .when(h == CURSOR_END, F.struct(*none, F.lit("end").alias("move")))
+        .when(whole, F.struct(ctr.alias("ctr"), F.unhex(actor).alias("actor"), F.when(move == CURSOR_BEFORE, "before").otherwise("after").alias("move")))
+    )

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import lists as L
 from ..functions.frames import grouped, shared_dir, written
-from ..functions.schema import MAKE_TEXT, OPS
+from ..functions.schema import MAKE_TEXT, OPS, cursor_bytes, parse_cursor_bytes
 from ..operators import diff, feed, graph, hydrate, marks, merge, register, sequence
 from ..operators.transaction import Draft, edit_many
 from ..sources import store
@@ -153,6 +153,21 @@ def cursor_at_index(spark, sf_dir):
     return sequence.cursor_at(sequence.elements(S.lists(spark, sf_dir)), F.lit(2)).select("doc", (F.col("ctr") - 1).alias("n"))
 
 
+@query(
+    """with e as (select event_id as n, '0' || user_id % 4 as a, event_id % 4 as m from events where event_id > 0),
+    x as (select *, printf('%02x', case when n < 128 then n else n % 128 + 128 end) || case when n < 128 then '' when n < 16384 then printf('%02x', n // 128) else printf('%02x', n // 128 % 128 + 128) || printf('%02x', n // 16384) end as c from e)
+    select n, true as ok, case m when 0 then '0101' when 1 then '0102' when 2 then '010301' || a || c || '01' else '010301' || a || c || '02' end as bytes from x"""
+)
+def cursor_as_bytes(spark, sf_dir):
+    """A cursor at every event, as bytes and back."""
+    e = S.table(spark, sf_dir, "events").where("event_id > 0").select("event_id", S.actor(F.col("user_id") % 4).alias("actor"))
+    e = e.withColumn("move", F.element_at(F.array(*map(F.lit, ("start", "end", "before", "after"))), (F.col("event_id") % 4 + 1).cast("int")))
+    e = e.withColumn("bytes", cursor_bytes(F.col("event_id"), F.col("actor"), F.col("move")))
+    p = parse_cursor_bytes(F.col("bytes"))
+    ok = (p["move"] == F.col("move")) & (F.col("move").isin("start", "end") | ((p["ctr"] == F.col("event_id")) & (p["actor"] == F.col("actor"))))
+    return e.select(F.col("event_id").alias("n"), ok.alias("ok"), F.lower(F.hex("bytes")).alias("bytes"))
+
+
 @query(
     """with a as (select user_id % 100 as u, list(event_type order by event_id) as l from events group by 1)
     select u, l[-1] as last, cast(coalesce(list_position(l, 'view'), 0) - 1 as int) as first_view, list_contains(l, 'purchase') as buys, cast(len(list_filter(l, lambda x: x = 'click')) as bigint) as clicks,

@@ -140,3 +140,18 @@ def test_contract_is_read_without_a_session():
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
     out = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()))"], cwd=root, capture_output=True, text=True)
     assert out.returncode == 0 and int(out.stdout.split()[0]) > 50, out.stderr
+
+
+def test_cursor_bytes(spark):
+    from causeway.functions.schema import cursor_bytes, parse_cursor_bytes
+
+    given = [(0, b"", "start"), (0, b"", "end"), (1, b"\x01", "before"), (127, b"\x7f\x80", "after"), (128, b"a" * 200, "before"), (2**62 + 12345, b"\xff" * 16, "after")]
+    df = spark.createDataFrame([(i, *g) for i, g in enumerate(given)], "i int, ctr long, actor binary, move string")
+    got = {r["i"]: r for r in df.select("i", cursor_bytes(F.col("ctr"), F.col("actor"), F.col("move")).alias("b")).select("i", "b", parse_cursor_bytes(F.col("b")).alias("p")).collect()}
+    for i, (ctr, actor, move) in enumerate(given):
+        p = got[i]["p"]
+        assert (p["ctr"], p["actor"], p["move"]) == ((None, None, move) if move in ("start", "end") else (ctr, bytearray(actor), move))
+    assert bytes(got[4]["b"]) == b"\x01\x03\xc8\x01" + b"a" * 200 + b"\x80\x01\x01"
+    whole = bytes(got[5]["b"])
+    bad = spark.createDataFrame([(b,) for b in (b"", b"\x01", b"\x02\x01", b"\x01\x04", whole[:-1], whole + b"\x01", whole[:8], b"\x01\x03\x01a\x05\x03")], "b binary")
+    assert bad.select(parse_cursor_bytes(F.col("b")).alias("p")).where("p is not null").count() == 0
