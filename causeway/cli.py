@@ -6,6 +6,7 @@
 
 from __future__ import annotations
 
+import secrets
 import sys
 
 from pyspark.sql import SparkSession
@@ -44,8 +45,9 @@ def main(args: list[str]) -> int:
         store.save(merge.apply_changes(c1, c2)[0], merge.merge_ops(o1, o2), rest[2])
     elif what == "anonymize":
         c, o = store.load(spark, rest[0])
+        seed = secrets.token_hex(32)  # kept nowhere: hashes under a known key fall to a dictionary
         actors = anonymize.actor_map(o)
-        new = anonymize.anonymize(o)
+        new = anonymize.anonymize(o, seed)
         own = c.join(actors, ["doc", "actor"]).drop("actor").withColumnRenamed("new", "actor").withColumn("message", F.lit(None).cast("string")).withColumn("time", F.lit(0).cast("long"))
         store.save(chunks.rehashed(own.select(*CHANGES.names), new).select(*CHANGES.names), new, rest[1])
     elif what == "load-chunks":

@@ -7,6 +7,7 @@ Nothing is dropped for its age; an operator may set a timeout as a safety valve,
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterator
 
 import pandas as pd
@@ -37,9 +38,9 @@ def released(stream: DataFrame) -> DataFrame:
             left[h] = sum(d not in done for d in set(ds))
             for d in set(ds):
                 needed.setdefault(d, []).append(h)
-        ready, out = sorted(h for h, n in left.items() if n == 0), []
+        ready, out = deque(sorted(h for h, n in left.items() if n == 0)), []
         while ready:
-            h = ready.pop(0)
+            h = ready.popleft()
             _, body = wait.pop(h)
             done.add(h)
             out.append((key[0], h, body, order))
