@@ -242,6 +242,26 @@ def diff_coalesced(spark, sf_dir):
     return p.select("doc", "patch", "index", "length", F.array_join("values", "|").alias("vals"))
 
 
+_SPANS = """, flag as (select t.doc, t.i, t.s, t.start, coalesce(m.n is not null and t.i between 1 and 2, false) as bold, case when m.n is not null and t.i between m.n - 3 and m.n - 1 then m.lang end as c from lat t left join marked m on m.doc = t.doc)"""
+
+
+@query(
+    w(S.SQL_TEXTS)
+    + _SPANS
+    + """, y as (select *, concat_ws(',', case when bold then 'bold=true' end, 'colour=' || c) as mk from flag), z as (select *, row_number() over (partition by doc order by i) - row_number() over (partition by doc, mk order by i) as g from y),
+    sp as (select doc, mk, string_agg(s, '' order by i) as text, min(start) as start from z group by doc, mk, g), docs as (select distinct doc from sp where mk <> ''),
+    old as (select doc, string_agg(s, '' order by i) as text from line group by doc)
+    select doc, 'add' as class, mk as marks, cast(start as bigint) as s, length(text) as n from sp where doc in (select doc from docs)
+    union all select o.doc, 'del', '', 0, length(o.text) from old o where doc in (select doc from docs)"""
+)
+def diff_spans(spark, sf_dir):
+    """From the texts without marks to the texts with them: one plain span gives way to several."""
+    o = S.texts(spark, sf_dir)
+    before = o.where("action <> 7").groupBy("doc", "actor").agg(F.max("ctr").alias("max_op"))
+    d = feed.diff_spans(o, before, None)
+    return d.select("doc", "class", "marks", F.col("start").alias("s"), F.length("text").alias("n"))
+
+
 # -- drafts: every part is a document with its name, on which an edit is made
 
 
