@@ -1,7 +1,7 @@
 """Document fingerprints: invertible Bloom lookup sketches of paragraph digests.
 
-A paragraph is a line of the text, cut further after every PIECE words; its digest also covers how often the same
-paragraph stood before it in the text, so repeats don't cancel. Each digest goes into HASHES cells of the sketch; a cell
+A paragraph is a line of the text, cut further after each pair of its words whose hash is a multiple of PIECE, so what
+is inserted shifts no later cut; its digest also covers how often the same paragraph stood before it, so repeats don't cancel. Each digest goes into HASHES cells of the sketch; a cell
 keeps a count, the exclusive-or of its digests and the sum of their check values. Two sketches of equal width subtract
 cell by cell; peeling cells that hold one digest then gives the digests that only one version has. If peeling stops
 early the sketches were too narrow, and both texts are sketched again at twice the width.
@@ -50,9 +50,9 @@ def digests(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     line = lines[starts]
     doc = np.repeat(np.arange(len(texts)), np.diff(before))
     new = np.concatenate([[True], (line[1:] != line[:-1]) | (doc[1:] != doc[:-1])])
-    first = np.flatnonzero(new)
-    place = X.spread(np.diff(np.append(first, len(starts))))
-    cut = np.flatnonzero(place % PIECE == 0)
+    after = np.zeros(len(h), bool)
+    after[2:] = (X.windows(h, 2)[:-1] % U(PIECE) == 0) & ~new[1:-1]
+    cut = np.flatnonzero(new | after)
     # what stands between the words of a paragraph counts too, so hash its bytes
     last = np.append(cut[1:], len(starts)) - 1
     d = X.mix(X.word_hashes(data, starts[cut], ends[last]) ^ h[cut])

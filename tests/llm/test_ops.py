@@ -180,6 +180,13 @@ def test_fingerprints_peel_to_the_difference():
         assert done.all() and only_a[0] == n // 2 and only_b[0] == n
 
 
+def test_an_inserted_word_changes_few_paragraphs():
+    words = sentence(random.Random(8), 4000).split()
+    a, b = iblt_set(" ".join(words)), iblt_set(" ".join([*words[:5], "inserted", *words[5:]]))
+    assert len(a) > 100 and len(a & b) >= len(a | b) - 8
+    assert len(iblt_set("same " * 100_000)) in (1, 100_000)  # no word cuts, or each does
+
+
 def labelled(spark, n=400):
     rng = random.Random(2)
     docs, labels = [], []
