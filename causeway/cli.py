@@ -1,11 +1,12 @@
 """Command line: JSON in and out of a store, merge, inspection, anonymising.
 
     python -m causeway.cli import FILE STORE | export STORE | examine STORE | merge STORE STORE OUT | anonymize STORE OUT
-    python -m causeway.cli load-chunks FILE STORE | save-chunks STORE FOLDER
+    python -m causeway.cli load-chunks FILE STORE | save-chunks STORE FOLDER | examine-sync MESSAGE
 """
 
 from __future__ import annotations
 
+import json
 import secrets
 import sys
 
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 
 from .functions.schema import CHANGES
 from .operators import anonymize, hydrate, merge
-from .sources import chunks, store
+from .sources import chunks, messages, store
 
 
 def import_json(spark: SparkSession, file: str, out: str, actor: bytes = b"\x01") -> None:
@@ -40,6 +41,11 @@ def main(args: list[str]) -> int:
         c, o = store.load(spark, rest[0], store.Options(verify=False, partial="ignore"))
         for r in store.expanded(c, o).toLocalIterator():
             print(r["json"])
+    elif what == "examine-sync":
+        with open(rest[0], "rb") as f:
+            m = messages.decode(f.read())
+        show = {k: [x.hex() for x in v] if k in ("heads", "need", "last_sync", "parts") else v for k, v in m.items()}
+        print(json.dumps(show))
     elif what == "merge":
         (c1, o1), (c2, o2) = (store.load(spark, p) for p in rest[:2])
         store.save(merge.apply_changes(c1, c2)[0], merge.merge_ops(o1, o2), rest[2])

@@ -16,6 +16,8 @@ from .graph import changes_since, clock_at, dependents, edges, heads
 
 #: Fixed values of the protocol: bits an entry, probes.
 BITS, PROBES = 10, 7
+#: Flags of a message: what was sent before is forgotten, the sender takes no changes, the sender knows the first flag.
+RESET, READ_ONLY, KNOWS_RESET = 1, 2, 4
 #: Rounds that move nothing after which a session ends: what a message asks for comes a round later.
 IDLE = 3
 
@@ -37,12 +39,12 @@ def probes(hashes: DataFrame, sizes: DataFrame) -> DataFrame:
 
 
 def filter_sizes(hashes: DataFrame) -> DataFrame:
-    """(doc, bits): whole bytes for BITS bits an entry."""
-    return hashes.groupBy("doc").agg((F.ceil(F.count("*") * BITS / 8) * 8).cast("long").alias("bits"))
+    """(doc, bits, entries): whole bytes for BITS bits an entry."""
+    return hashes.groupBy("doc").agg((F.ceil(F.count("*") * BITS / 8) * 8).cast("long").alias("bits"), F.count("*").alias("entries"))
 
 
 def bloom(hashes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(doc, bit) and (doc, bits): the filter of a set of hashes (doc, hash)."""
+    """(doc, bit) and (doc, bits, entries): the filter of a set of hashes (doc, hash)."""
     sizes = filter_sizes(hashes)
     return probes(hashes, sizes).select("doc", "bit").distinct(), sizes
 
@@ -74,15 +76,26 @@ def whole_document(changes: DataFrame, sending: DataFrame) -> DataFrame:
 
 @dataclass
 class Peer:
-    """What a replica remembers of one peer; only shared_heads outlives a session."""
+    """What a replica remembers of one peer; only shared_heads outlives a session.
+
+    A replica that is `read_only` asks for nothing and takes nothing; its peer then sends no changes. Once it may take
+    them again, its next message says that what was sent before is to be sent anew.
+    """
 
     shared_heads: DataFrame | None = None
     their_heads: DataFrame | None = None
     their_need: DataFrame | None = None
     their_have: tuple[DataFrame, DataFrame, DataFrame] | None = None  # last sync, bits, sizes
     read_only: bool = False
+    peer_read_only: bool = False
+    peer_knows_reset: bool = False
+    needs_reset: bool = False
     sent: list = field(default_factory=list)
 
+    def set_read_only(self, to: bool) -> None:
+        self.needs_reset |= self.read_only and not to
+        self.read_only = to
+
 
 @dataclass
 class Message:
@@ -90,6 +103,7 @@ class Message:
     need: DataFrame
     have: tuple[DataFrame, DataFrame, DataFrame]
     changes: DataFrame
+    flags: int | None = None
 
 
 def _empty(changes: DataFrame) -> DataFrame:
@@ -97,7 +111,10 @@ def _empty(changes: DataFrame) -> DataFrame:
 
 
 def generate(changes: DataFrame, queued: DataFrame, peer: Peer) -> Message:
-    """The next message to a peer: own heads, what is missing, a filter of what was added since the last sync, changes."""
+    """The next message to a peer: own heads, what is missing, a filter of what was added since the last sync, changes.
+
+    Where the peer's last common heads are unknown here, sync starts over: no changes go and nothing is taken as common.
+    """
     shared = peer.shared_heads if peer.shared_heads is not None else _empty(changes)
     own = heads(changes).select("doc", "hash")
     want = edges(queued).select("doc", F.col("dep").alias("hash"))
@@ -105,23 +122,49 @@ def generate(changes: DataFrame, queued: DataFrame, peer: Peer) -> Message:
         want = want.unionByName(peer.their_heads)
     known = changes.select("doc", "hash").unionByName(queued.select("doc", "hash"))
     need = want.distinct().join(known, ["doc", "hash"], "left_anti")
+    if peer.read_only:
+        need = need.limit(0)
+    lost = None
+    if peer.their_have is not None:
+        lost = cut(peer.their_have[0].join(changes.select("doc", "hash"), ["doc", "hash"], "left_anti").select("doc").distinct())
+        if lost.isEmpty():
+            lost = None
+        else:
+            shared = shared.join(lost, "doc", "left_anti")
     since = changes_since(changes, clock_at(changes, shared)).select("doc", "hash")
+    if lost is not None:
+        need, since = need.join(lost, "doc", "left_anti"), since.join(lost, "doc", "left_anti")
     bits, sizes = bloom(since)
     send = changes.limit(0)
-    if peer.their_have is not None and not peer.read_only:
+    if peer.their_have is not None and not peer.peer_read_only:
         ids = hashes_to_send(changes, *peer.their_have, need=peer.their_need)
+        if lost is not None:
+            ids = ids.join(lost, "doc", "left_anti")
         for before in peer.sent:
             ids = ids.join(before, ["doc", "hash"], "left_anti")
         peer.sent.append(ids)
         send = changes.join(ids, ["doc", "hash"], "left_semi")
-    return Message(own, need, (shared, bits, sizes), send)
+    flags = KNOWS_RESET | (READ_ONLY if peer.read_only else 0)
+    if peer.needs_reset:
+        peer.needs_reset = False
+        if peer.peer_knows_reset:
+            flags |= RESET
+        else:
+            own = own.limit(0)  # a peer that doesn't know the flag takes this for a loss of all data
+    return Message(own, need, (shared, bits, sizes), send, flags)
 
 
 def receive(changes: DataFrame, queued: DataFrame, peer: Peer, message: Message) -> tuple[DataFrame, DataFrame]:
     """(changes, queued) after a message; the peer's state moves on."""
     from .merge import apply_changes
 
-    applied, waiting = apply_changes(changes.unionByName(queued), message.changes)
+    new = message.changes.limit(0) if peer.read_only else message.changes
+    applied, waiting = apply_changes(changes.unionByName(queued), new)
+    if message.flags is not None:
+        peer.peer_knows_reset = bool(message.flags & KNOWS_RESET)
+        peer.peer_read_only = bool(message.flags & READ_ONLY)
+    if (message.flags or 0) & RESET or message.heads.isEmpty():
+        peer.sent.clear()
     peer.their_heads, peer.their_need, peer.their_have = message.heads, message.need, message.have
     both = message.heads.join(applied.select("doc", "hash"), ["doc", "hash"], "left_semi")
     old = peer.shared_heads if peer.shared_heads is not None else _empty(changes)
@@ -160,7 +203,7 @@ def _held(m: Message, sender: Peer) -> Message:
     """The message without lineage, and so what its sender remembers of it."""
     if sender.sent:
         sender.sent[-1] = cut(sender.sent[-1])
-    return Message(cut(m.heads), cut(m.need), tuple(cut(x) for x in m.have), cut(m.changes))
+    return Message(cut(m.heads), cut(m.need), tuple(cut(x) for x in m.have), cut(m.changes), m.flags)
 
 
 def _hold(peer: Peer) -> None:

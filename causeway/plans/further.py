@@ -11,11 +11,11 @@ from pyspark.sql import functions as F
 from ..functions import lists as L
 from ..functions.frames import grouped, shared_dir, written
 from ..functions.schema import MAKE_TEXT, OPS, cursor_bytes, parse_cursor_bytes
-from ..operators import diff, feed, graph, hydrate, marks, merge, register, sequence
+from ..operators import diff, feed, graph, hydrate, marks, merge, register, sequence, sync
 from ..operators.transaction import Draft, edit_many
-from ..sources import store
+from ..sources import messages, store
 from . import synth as S
-from .queries import DAY1, DAY2, _DIFF, _heads_before, query, w, who
+from .queries import DAY1, DAY2, SQL, _DIFF, _heads_before, query, w, who
 
 ROOT = (0, b"")
 
@@ -140,6 +140,42 @@ def store_strings_to_text(spark, sf_dir):
     return sequence.text(sequence.elements(new)).groupBy("doc", "text").agg(F.count("*").alias("n"))
 
 
+# -- sync as bytes
+
+
+def _sql_uleb(n: str) -> str:
+    return f"case when {n} < 128 then printf('%02x', {n}) when {n} < 16384 then printf('%02x%02x', {n} % 128 + 128, {n} // 128) else printf('%02x%02x%02x', {n} % 128 + 128, {n} // 128 % 128 + 128, {n} // 16384) end"
+
+
+_SQL_HEADS = f", tip as (select doc, {_sql_uleb('count(*)')} || string_agg(hash, '' order by hash) as heads from changes c where not exists (select 1 from edges e where e.doc = c.doc and e.dep = c.hash) group by doc)"
+
+
+@query(w(S.SQL_OPS, S.SQL_CHANGES) + _SQL_HEADS + " select doc, '43' || heads as bytes from tip")
+def sync_state_bytes(spark, sf_dir):
+    """The heads that two replicas share, as a state's bytes; what is read back must be the same."""
+    h = graph.heads(S.changes(spark, sf_dir)).select("doc", "hash")
+    out = messages.states(messages.read_states(messages.states(h)))
+    return out.select("doc", F.lower(F.hex("bytes")).alias("bytes"))
+
+
+@query(
+    SQL["sync_bloom"].split(", own as")[0]
+    + _SQL_HEADS
+    + ", own as"
+    + SQL["sync_bloom"].split(", own as")[1].split("select c.doc, c.hash, coalesce")[0].replace(" where actor < 2)", ")").replace(" where actor < 2 group by", " group by")
+    + f""", octet as (select doc, bit // 8 as nth, sum(1 << (bit % 8)) as v from bits group by all),
+    slot as (select doc, unnest(range(0, m // 8)) as nth from size),
+    filled as (select s.doc, string_agg(printf('%02x', cast(coalesce(v, 0) as bigint)), '' order by s.nth) as hx from slot s left join octet o on o.doc = s.doc and o.nth = s.nth group by s.doc),
+    n as (select doc, count(*) as n from changes group by doc), f as (select doc, {_sql_uleb('n')} || '0a07' || hx as bloom from n join filled using (doc)), g as (select doc, bloom, length(bloom) // 2 as size from f)
+    select doc, '42' || heads || '00' || '01' || '00' || {_sql_uleb('size')} || bloom || '00' || '020284' as bytes from tip join g using (doc)"""
+)
+def sync_message_bytes(spark, sf_dir):
+    """A session's first message to a peer, as bytes; what is read back must give the same bytes."""
+    c = S.changes(spark, sf_dir).drop("ep", "num_ops")
+    m, _ = messages.from_bytes(messages.to_bytes(sync.generate(c, c.limit(0), sync.Peer())))
+    return messages.to_bytes(m).select("doc", F.lower(F.hex("bytes")).alias("bytes"))
+
+
 # -- types and helpers
 
 

@@ -483,7 +483,7 @@ def test_sync_session_sends_what_the_other_lacks(spark, monkeypatch):
     # a session whose messages carry no changes leaves the replica with what it had
     plain = sync.generate
     with monkeypatch.context() as m:
-        m.setattr(sync, "generate", lambda *a: (lambda x: sync.Message(x.heads, x.need, x.have, x.changes.limit(0)))(plain(*a)))
+        m.setattr(sync, "generate", lambda *a: (lambda x: sync.Message(x.heads, x.need, x.have, x.changes.limit(0), x.flags))(plain(*a)))
         short = {r["doc"]: r["n"] for r in plans.sync_session(spark, sf).collect()}
     assert sum(short.values()) < sum(want.values())
 
