@@ -13,7 +13,7 @@ from ..functions.frames import grouped, shared_dir, written
 from ..functions.schema import MAKE_TEXT, OPS, cursor_bytes, parse_cursor_bytes
 from ..operators import diff, feed, graph, hydrate, marks, merge, register, sequence, sync
 from ..operators.transaction import Draft, edit_many
-from ..sources import messages, store
+from ..sources import chunks, messages, store
 from . import synth as S
 from .queries import DAY1, DAY2, SQL, _DIFF, _heads_before, query, w, who
 
@@ -322,6 +322,23 @@ def _body_text(o: DataFrame) -> DataFrame:
     return sequence.text(sequence.elements(o).where(F.col("obj_actor") == F.lit(b"\x02"))).select("doc", "text")
 
 
+@query("select 'p' || p_partkey as doc, cast(1 + p_partkey % 2 as bigint) as changes, 3 + 3 * (p_partkey % 2) as ops, cast(15 + 6 * (p_partkey % 2) as bigint) as ids from part")
+def chunk_bundles(spark, sf_dir):
+    """Every part as a document of two changes: the second of each, or both, as a bundle's bytes and back.
+
+    Changes count where the hash that reading gives is the one before.
+    """
+    o = written(_parts(spark, sf_dir), "parts")
+    of_two = written(o.select("doc", "actor").distinct().withColumn("seq", F.explode(F.array(F.lit(1).cast("long"), F.lit(2).cast("long")))), "seqs")
+    h = lambda n: F.unhex(F.sha2(F.concat("doc", F.lit("/"), n.cast("string")), 256))
+    deps = F.when(F.col("seq") == 1, F.array().cast("array<binary>")).otherwise(F.array(h(F.lit(1))))
+    c = of_two.select("doc", h(F.col("seq")).alias("hash"), "actor", "seq", (F.col("seq") * 3 - 2).alias("start_op"), (F.col("seq") * 3).alias("max_op"), F.lit(0).cast("long").alias("time"), F.lit(None).cast("string").alias("message"), deps.alias("deps"), F.lit(b"").alias("extra"))
+    c = written(chunks.rehashed(c, o).drop("bytes"), "changes")
+    of = c.where("seq = 2 or cast(substr(doc, 2) as int) % 2 = 1").select("doc", "hash", F.lit("b").alias("name"))
+    back, ops = chunks.read(chunks.bundles(c, o, of))
+    return _held(back.join(of, ["doc", "hash"], "left_semi"), ops)
+
+
 @query("select 'p' || p_partkey as doc, substr(p_name, 1, 2) || 'XY' || substr(p_name, 6) as text from part")
 def write_splice_text(spark, sf_dir):
     def edit(d: Draft) -> None:

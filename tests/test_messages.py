@@ -110,3 +110,25 @@ def test_sync_starts_over_where_the_last_heads_are_unknown(spark, log):
     a, qa = sync.receive(a, qa, peer, sync.Message(theirs.heads, theirs.need, (unknown, *theirs.have[1:]), c.limit(0), theirs.flags))
     m = sync.generate(a, qa, peer)
     assert m.changes.isEmpty() and m.need.isEmpty() and m.have[0].isEmpty() and m.have[2].isEmpty() and not m.heads.isEmpty()
+
+
+def test_bundles_give_back_their_changes(spark, log):
+    c, o = log
+    cs, os_ = [[r.asDict(recursive=True) for r in x.collect()] for x in log]
+    own = lambda some: [r for r in os_ for x in some if bytes(r["actor"]) == bytes(x["actor"]) and x["start_op"] <= r["ctr"] <= x["max_op"]]
+    for some in (cs, cs[1::2], cs[:1], []):
+        for deflate in (True, False):
+            got, ops = chunks.load(chunks.write_bundle(some, own(some), deflate), "d")
+            assert {bytes(x["hash"]) for x in got} == {bytes(x["hash"]) for x in some}
+            assert len(ops) == len(own(some))
+            first = {k: sorted((r["ctr"], bytes(r["actor"]), r["action"], r["key_str"], r["obj_ctr"], len(r["pred"] or [])) for r in k_rows) for k, k_rows in (("a", ops), ("b", own(some)))}
+            assert first["a"] == first["b"]
+    sets = c.select("doc", "hash", (F.col("seq") % 2).alias("name"))
+    made = chunks.bundles(c, o, sets)
+    back, ops = chunks.read(made)
+    assert made.count() == 2 and ops.count() == o.count()
+    assert back.select("hash").exceptAll(c.select("hash")).isEmpty() and back.count() == c.count()
+    broken = bytearray(chunks.write_bundle(cs, os_))
+    broken[-1] ^= 1
+    with pytest.raises(BadChunk):
+        chunks.load(bytes(broken))
