@@ -3,6 +3,9 @@
 A sketch has `depth` rows of 2**bits cells; cell counts saturate at `cap`. Partitions send only their own non-zero cells,
 as gaps between sorted cell numbers, so what is shuffled follows the keys rather than the width. An estimate is never
 below the true count (up to the cap), whatever the width: a sketch that is too narrow costs time, never rows.
+
+A width has a bound, as sketches are broadcast; `lone` counts the keys that nothing else has without one: keys go by blocks
+to tasks that count them, and each sends back, to the chunk of items that a key came from, that it is alone.
 """
 
 from __future__ import annotations
@@ -11,6 +14,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from .frames import lean
@@ -34,6 +38,17 @@ def cells(keys: np.ndarray, row: int, bits: int) -> np.ndarray:
     return ((keys * ROWS[row]) >> U(64 - bits)).astype(np.uint32)
 
 
+def members(keys: Iterator[np.ndarray], most: int, depth: int = 4, widest: int = 26) -> Sketch:
+    """A sketch that counts the given keys, about `most`, as 2 and, but for collisions, others as 1; no given one is missed."""
+    bits = bits_for(2 * most, most=widest)
+    data = np.zeros((depth << bits) // 8, np.uint8)
+    for k in keys:
+        for row in range(depth):
+            c = cells(k, row, bits).astype(np.int64) + (row << bits)
+            np.bitwise_or.at(data, c >> 3, np.uint8(1) << (c & 7).astype(np.uint8))
+    return Sketch(bits, depth, 2, data)
+
+
 def pack_varints(v: np.ndarray) -> np.ndarray:
     """Unsigned values under 2**28 as bytes of 7 bits each, low first."""
     size = np.ones(len(v), np.int64)
@@ -170,3 +185,107 @@ def build(
     for r in frame.groupBy("block").applyInArrow(merged, "block int, blob binary").toLocalIterator():
         data[r["block"] * per : (r["block"] + 1) * per] = np.frombuffer(r["blob"], np.uint8)
     return Sketch(bits, depth, cap, data)
+
+
+# -- keys that stand alone
+
+#: Items of a chunk, which 16 bits tell apart.
+ITEMS = 1 << 16
+#: Blocks are up to 2**12 of 2**18 keys or so, then larger up to 2**21 keys, then more; 2**26 cells each, so few keys meet by
+#: chance.
+BLOCKS, SMALL, LARGE, CELL_BITS = 12, 18, 21, 26
+
+
+def _chunk(keys: np.ndarray, item: np.ndarray, blocks: int) -> Iterator[tuple[int, bytes]]:
+    """(block, blob) of a chunk's keys: gaps between its cells, then the items of those that the chunk has once."""
+    keys = keys >> U(64 - blocks - CELL_BITS)
+    order = np.argsort(keys)
+    keys, item = keys[order], item[order]
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    once = np.diff(np.append(first, len(keys))) == 1
+    keys, item = keys[first], item[first].astype(np.uint16)
+    block = (keys >> U(CELL_BITS)).astype(np.int64)
+    edge = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1], [True]]))
+    for lo, hi in zip(edge[:-1].tolist(), edge[1:].tolist()):
+        cell = (keys[lo:hi] & U((1 << CELL_BITS) - 1)).astype(np.uint32)
+        body = pack_varints((np.diff(cell, prepend=np.uint32(0)) << np.uint32(1)) | once[lo:hi].astype(np.uint32))
+        yield int(block[lo]), np.uint32(len(body)).tobytes() + body.tobytes() + item[lo:hi][once[lo:hi]].tobytes()
+
+
+def _alone(blobs: list) -> list[np.ndarray]:
+    """For each blob of a block, the items of its keys that no other blob has."""
+    cell, once, items = [], [], []
+    for blob in blobs:
+        n = int(np.frombuffer(blob, np.uint32, 1)[0])
+        v = unpack_varints(np.frombuffer(blob, np.uint8, n, 4))
+        cell.append(np.cumsum(v >> 1, dtype=np.uint32))
+        once.append((v & 1) == 1)
+        items.append(np.frombuffer(blob, np.uint16, offset=4 + n))
+    size = np.cumsum([len(x) for x in cell])[:-1]
+    _, at, count = np.unique(np.concatenate(cell), return_inverse=True, return_counts=True)
+    return [x[alone[o]] for x, o, alone in zip(items, once, np.split(count[at] == 1, size))]
+
+
+def lone(source: DataFrame, items_of: Callable[[pa.RecordBatch], Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]], keys: int, hold: int = FLUSH) -> DataFrame:
+    """(ids, sizes, lone): for each chunk of items the binary arrays of their ids, sizes (int64) and numbers of lone keys.
+
+    items_of gives, for the batches of `source`, arrays: ids and sizes of items, offsets of their keys, and the keys, hashes
+    that differ within an item. A key is lone if nothing else has it; keys whose leading bits agree count as one, so a number
+    may be too small, never too large. keys: about how many there are, which sets the number of blocks. A chunk is named by
+    what it holds; what a task that ran again numbers otherwise isn't counted as lone.
+    """
+    blocks = int(keys).bit_length()
+    blocks = min(64 - CELL_BITS, max(1, min(BLOCKS, blocks - SMALL), blocks - LARGE))
+
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part = TaskContext.get().partitionId()
+        held, items, n = [], 0, 0
+
+        def flush() -> pa.RecordBatch:
+            nonlocal held, items, n
+            ids, sizes, counts, key = (np.concatenate(x) for x in zip(*held))
+            place = np.repeat(np.arange(len(ids)), counts)
+            name = int(((ids.astype(U) * ROWS[0]) ^ (np.arange(len(ids), dtype=U) * ROWS[1])).sum(dtype=U))
+            name = (name * int(ROWS[2]) + part) % (1 << 64) - (1 << 63)
+            rows = list(_chunk(key, place, blocks)) if len(key) else []
+            held, items, n = [], 0, 0
+            # what tells the items goes along, past the blocks
+            rows.append((-1 - name % 4096, ids.astype(np.int64).tobytes() + sizes.astype(np.int64).tobytes()))
+            return pa.RecordBatch.from_pydict({"block": pa.array([b for b, _ in rows], pa.int64()), "chunk": pa.array([name] * len(rows), pa.int64()), "blob": pa.array([x for _, x in rows], pa.binary())})
+
+        for batch in batches:
+            for ids, sizes, offs, key in items_of(batch):
+                for lo in range(0, len(ids), ITEMS):
+                    hi = min(len(ids), lo + ITEMS)
+                    if items + hi - lo > ITEMS:
+                        yield flush()
+                    held.append((ids[lo:hi], sizes[lo:hi], np.diff(offs[lo : hi + 1]), key[offs[lo] : offs[hi]]))
+                    items += hi - lo
+                    n += offs[hi] - offs[lo]
+                    if n >= hold:
+                        yield flush()
+        if items:
+            yield flush()
+
+    def count(t: pa.Table) -> pa.Table:
+        if t["block"][0].as_py() < 0:
+            return t.select(["chunk", "block", "blob"])
+        found = _alone([x.as_buffer() for x in t["blob"]])
+        return pa.table({"chunk": t["chunk"], "block": t["block"], "blob": pa.array([x.tobytes() for x in found], pa.binary())})
+
+    def gather(t: pa.Table) -> pa.Table:
+        told, alone = [], []
+        for block, blob in zip(t["block"].to_pylist(), t["blob"]):
+            (told if block < 0 else alone).append(blob.as_buffer())
+        if not told:  # blocks of a task that ran again
+            return pa.table({c: pa.array([], pa.binary()) for c in ("ids", "sizes", "lone")})
+        n = len(told[0]) // 16
+        total = np.zeros(n, np.int64)
+        for x in alone:
+            total += np.bincount(np.frombuffer(x, np.uint16), minlength=n)
+        # equal chunks have no lone keys, so their items are told once
+        return pa.table({"ids": pa.array([told[0].slice(0, 8 * n).to_pybytes()], pa.binary()), "sizes": pa.array([told[0].slice(8 * n).to_pybytes()], pa.binary()), "lone": pa.array([total.tobytes()], pa.binary())})
+
+    sent = source.mapInArrow(lean(parts), "block long, chunk long, blob binary")
+    counted = sent.groupBy("block").applyInArrow(count, "chunk long, block long, blob binary")
+    return counted.where("octet_length(blob) > 0").groupBy("chunk").applyInArrow(gather, "ids binary, sizes binary, lone binary")

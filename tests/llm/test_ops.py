@@ -413,6 +413,19 @@ def test_jaccard(docs, nothing, n, num, monkeypatch):
     assert jaccard.components(nothing).count() == 0
 
 
+@pytest.mark.parametrize("num", [80, 90])
+def test_jaccard_drops_sets_beyond_a_sketch(spark, num, monkeypatch):
+    """However narrow a sketch may be for the tokens, sets that link with nothing aren't stored, and those that do are."""
+    rng, sets, bits, own = random.Random(3), [], jaccard.sketch.bits_for, jaccard.written
+    monkeypatch.setattr(jaccard.sketch, "bits_for", lambda keys, most=28: min(bits(keys, most), 13))
+    monkeypatch.setattr(jaccard, "written", lambda df, name: (sets.append(out := own(df, name)), out)[1])
+    rows = [(i, " ".join(f"w{rng.randrange(10**6)}" for _ in range(200))) for i in range(400)]
+    rows += [(400, rows[7][1] + " end"), (401, rows[9][1])]
+    got = jaccard.components(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), num=num).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == {i: i for i in range(400)} | {400: 7, 401: 9}
+    assert sets[0].where("blob is not null").select("a", "b").distinct().count() == 3
+
+
 def test_jaccard_chains_over_groups(spark, monkeypatch):
     monkeypatch.setattr(jaccard, "GROUP_TOKENS", 120)
     rng = random.Random(9)

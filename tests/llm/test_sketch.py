@@ -34,6 +34,31 @@ def test_estimates(spark, bits, cap, partitions):
         assert cap == 2 or (got == true).mean() > 0.98
 
 
+@pytest.mark.parametrize("hold", [40, 100_000])
+def test_lone_keys(spark, hold):
+    """Every key that one item alone has is counted, and no other, whatever the chunks; no name of a filter is missed."""
+    rng = np.random.default_rng(5)
+    sets = {i: sorted({int(x) for x in rng.integers(0, 3000, i % 13)}) for i in range(500)}
+    sets |= {500: [], 501: list(range(5000, 5090)), 502: list(range(5000, 5080))}
+    times = np.bincount([k for s in sets.values() for k in s])
+    df = spark.createDataFrame(list(sets.items()), "id long, keys array<long>").repartition(4)
+
+    def items(batch: pa.RecordBatch):
+        keys = [X.mix(np.array(k, U)) for k in batch["keys"].to_pylist()]
+        size = np.array([len(k) for k in keys])
+        yield batch["id"].to_numpy().astype(U), size, np.concatenate([[0], np.cumsum(size)]), np.concatenate([np.zeros(0, U), *keys])
+
+    got = {}
+    for r in sketch.lone(df, items, 1 << 22, hold).collect():
+        ids, sizes, lone = (np.frombuffer(r[c], np.int64).tolist() for c in ("ids", "sizes", "lone"))
+        assert sizes == [len(sets[i]) for i in ids] and not set(ids) & set(got)
+        got |= dict(zip(ids, lone))
+    assert got == {i: sum(times[k] == 1 for k in s) for i, s in sets.items()}
+    names = X.mix(np.arange(4000).astype(U))
+    m = sketch.members(iter([names[:1000], names[1000:2000]]), 2000)
+    assert (m.counts(names[:2000]) == 2).all() and (m.counts(names[2000:]) == 2).mean() < 0.05
+
+
 def test_words_and_hashes():
     texts = pa.array(["a bb  c\n", "", " ", "bb a", "é x" * 3, "y" * 100 + " a"], pa.large_string())
     data, offs = X.raw(texts)
