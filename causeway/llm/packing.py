@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from . import text as X
 from .frames import lean
-from .tokens import Encoder, crc, with_end
+from .tokens import crc, encoder, with_end
 
 #: Windows partitioned at once.
 GROUP = 256
@@ -101,7 +101,7 @@ def pack(
     kind = docs.schema[id_col].dataType.simpleString()
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, sequence = Encoder(path), TaskContext.get().partitionId() << 32
+        enc, sequence = encoder(path), TaskContext.get().partitionId() << 32
         out: list[tuple] = []
         rest: list[tuple] = []  # (id, start, ids, ids of the document)
         room = 0

@@ -146,4 +146,5 @@ def spread(counts: np.ndarray) -> np.ndarray:
 
 def runs(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """Indexes start, start + 1, .. of each run, end to end."""
-    return np.repeat(starts, lengths) + spread(lengths)
+    ends = np.cumsum(lengths)
+    return np.repeat(starts - (ends - lengths), lengths) + np.arange(ends[-1] if len(ends) else 0)
