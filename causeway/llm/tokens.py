@@ -336,7 +336,7 @@ def _train(docs: DataFrame, id_col: str, text_col: str, path: str) -> bytes:
     rows = sampled(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), F.col("id"), SAMPLE_DOCS).select("text")
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, room = Encoder(path), SAMPLE_BYTES
+        enc, room = encoder(path), SAMPLE_BYTES
         kind = "<u2" if enc.size <= 1 << 16 else "<u4"
         for batch in batches:
             for _, n, ids in enc.encode(X.texts_of(batch["text"])):
@@ -373,7 +373,7 @@ def write_tokens(docs: DataFrame, path: str, end_id: int, id_col: str = "doc_id"
         part_of = F.when(F.col("id").isNull(), 0).otherwise(F.size(F.filter(F.lit(splits), lambda x: x < F.col("id"))))
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = Encoder(path)
+        enc = encoder(path)
         kind = "<u2" if max(enc.size, end_id + 1) <= 1 << 16 else "<u4"
         squeeze = zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(held.value) if held.value else None, write_content_size=True, write_checksum=False)
         for batch in batches:

@@ -328,6 +328,23 @@ def test_tokens_round_trip(docs, nothing):
     assert tokens.read_tokens(files, dictionary).count() == 0
 
 
+def test_token_tasks_keep_their_encoder(spark, docs, tmp_path):
+    import shutil
+
+    import pyarrow as pa
+
+    own = str(tmp_path / "own.json")
+    shutil.copy(tokenizer_path(), own)
+    files, dictionary = tokens.write_tokens(docs, own, 2, parts=2)
+    assert tokens.read_tokens(files, dictionary).count() == len(rows())
+
+    def held(batches):
+        for _ in batches:
+            yield pa.RecordBatch.from_pydict({"path": pa.array([k[0] for k in tokens._HELD], pa.string())})
+
+    assert own in {r["path"] for r in spark.range(64).repartition(64).mapInArrow(held, "path string").collect()}
+
+
 def test_encoder_cuts():
     import numpy as np
     import pyarrow as pa
